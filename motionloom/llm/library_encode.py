@@ -13,11 +13,17 @@ from . import wordvocab
 from .bpe import encode_batches
 
 
+def _encode_words(vocab: wordvocab.WordVocab, words: list[str]) -> list[list[int]]:
+    """Each word's ids, from the library's model; the words are already normalised and cut."""
+    tokenize, symbols = vocab.library.model.tokenize, vocab.symbols
+    return [[t.id for t in tokenize(symbols(w))] for w in words]
+
+
 @functools.lru_cache(maxsize=2)
 def _table(path: str) -> wordvocab.WordTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     vocab = wordvocab.load(path)
-    return wordvocab.WordTable(vocab, lambda words: [x.ids for x in vocab.library.encode_batch_fast(words, add_special_tokens=False)])
+    return wordvocab.WordTable(vocab, lambda words: _encode_words(vocab, words), most=500_000)
 
 
 def with_end(path: str, end: int | None):

@@ -175,7 +175,7 @@ def _write_partition(batches, folder: str, width: int, shard_tokens: int):
         yield shard()
 
 
-def write_tokens(df: DataFrame, folder: str, encode: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", width: int = 8, shard_tokens: int = 8_000_000) -> DataFrame:
+def write_tokens(df: DataFrame, folder: str, encode: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", width: int = 8, shard_tokens: int = 4_000_000) -> DataFrame:
     """Write the ids of all documents in ascending order of the id column; return the manifest.
 
     ``encode`` maps (id, text) rows to (id, ids array<int>) batch by batch. The

@@ -118,15 +118,15 @@ class WordTable:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.empty(0, np.int32)
-        self.start = np.empty(0, np.int64)
-        self.length = np.empty(0, np.int64)
+        self.start = np.empty(0, np.int32)
+        self.length = np.empty(0, np.int32)
         self._add([" " + s for s in self.vocab.special], np.array([*self.vocab.special.values()], np.int32), np.ones(len(self.vocab.special), np.int64))
 
     def _add(self, chunks: list[str], ids: np.ndarray, length: np.ndarray) -> None:
         first = len(self.index)
         self.index.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
+        self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(length) - length).astype(np.int32)])
+        self.length = np.concatenate([self.length, length.astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids])
 
     def _learn(self, chunks: list[str]) -> None:
@@ -141,10 +141,17 @@ class WordTable:
         self._add([chunks[i] for i in rest], ids, np.diff(offsets))
 
     def _look_up(self, chunks: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        return self._gather(np.fromiter(map(self.index.__getitem__, chunks), np.int32, len(chunks)), ends)
+
+    def _gather(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the table's entries ``at``, one after another, and the offsets at ``ends``."""
         length = self.length[at]
-        done = np.concatenate([[0], np.cumsum(length)])
-        take = np.repeat(self.start[at] - done[:-1], length) + np.arange(done[-1])
+        done = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(length, out=done[1:])
+        shift = self.start[at]
+        shift -= done[:-1].astype(np.int32)
+        take = np.repeat(shift, length)
+        take += np.arange(done[-1], dtype=np.int32)
         return self.flat[take], done[ends]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,11 +161,13 @@ class WordTable:
         for text in texts:
             chunks += self.vocab.chunks(text)
             ends.append(len(chunks))
-        distinct = set(chunks)
-        if len(self.index) + len(distinct) > self.most + len(self.vocab.special):
-            self.clear()
-        new = distinct.difference(self.index)
-        if new:
+        at = np.fromiter(map(self.index.get, chunks, itertools.repeat(-1)), np.int32, len(chunks))
+        gaps = np.flatnonzero(at < 0).tolist()
+        if gaps:
+            new = {chunks[i] for i in gaps}
+            if len(self.index) + len(new) > self.most + len(self.vocab.special):
+                self.clear()
+                new, gaps = set(chunks).difference(self.index), range(len(chunks))
             on = gc.isenabled()
             gc.disable()  # a trie of many small nodes has no cycles to look for
             try:
@@ -166,4 +175,5 @@ class WordTable:
             finally:
                 if on:
                     gc.enable()
-        return self._look_up(chunks, np.array(ends))
+            at[gaps] = np.fromiter((self.index[chunks[i]] for i in gaps), np.int32, len(gaps))
+        return self._gather(at, np.array(ends))
