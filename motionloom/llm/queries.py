@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, library_encode, minhash, quality, token_files, url_rules, warc
+from . import bpe, chat, decontaminate, langid, library_encode, minhash, quality, suffix_dedup, token_files, url_rules, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -32,6 +32,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -88,6 +92,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
@@ -107,6 +112,22 @@ _RULES = " AND ".join(
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+        w AS (SELECT doc_id, h, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200),
+        k AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS m FROM w),
+        r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY m) AS c FROM k) WHERE c > 1),
+        g AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM r),
+        i AS (SELECT doc_id, p, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+        s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, run),
+        t AS (SELECT s.*, h, lag(b, 1, 0) OVER (PARTITION BY s.doc_id ORDER BY a) AS before FROM s JOIN d USING (doc_id)),
+        c AS (
+            SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS last,
+                string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS kept
+            FROM t GROUP BY doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(coalesce(kept || substr(h, (2 * last + 1)::BIGINT), h))) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id)""",
     "op4_chat_format": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -180,8 +201,8 @@ ORACLE_SQL: dict[str, str] = {
                 ELSE list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]) END) AS g
             FROM d),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-        links AS (SELECT x, y FROM both JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
         reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
         c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
