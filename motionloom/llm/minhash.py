@@ -9,11 +9,12 @@
    chance agreement; pairs that may reach the threshold are confirmed on their
    full shingle sets. Links give components. A second star, with another
    centre, follows for buckets that still hold several components.
-3. In the buckets that then still hold several components, all pairs across
-   components are estimated in blocks of bounded size, and those that may reach
-   the threshold are confirmed. A pair within one component needs no test, so
-   no link that could join two components is left out, and no group is ever
-   expanded into all its pairs.
+3. In the buckets that then still hold several components, members are compared
+   across components in blocks of bounded size: first by estimate, which gives
+   the nodes that may have a link there, then those nodes' full shingle sets,
+   inverted once for each block. A block gives only links that join
+   components. A pair within one component needs no test, so no link that
+   could join two components is left out, and no pairs are ever sent around.
 
 With 40 bands of 4 a pair at similarity 0.8 shares no bucket with probability
 7e-10; the estimate's cut lies more than 5 standard deviations below the
@@ -45,7 +46,7 @@ class Settings:
     #: Pairs with a lower estimate aren't confirmed.
     cut: float = 0.6
     #: Nodes of one bucket in a block.
-    block: int = 2048
+    block: int = 1024
     #: Members that meet one copy of a centre's text.
     fan: int = 512
     seed: int = 7
@@ -214,44 +215,83 @@ def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return materialize(rows.mapInArrow(lambda it: _confirm_batches(it, s), "a long, b long"), "links")
 
 
-def _across(batches, s: Settings):
-    """Groups (key, i, j), sorted; yields pairs across components whose estimate reaches the cut."""
-    width, mask = s.hashes * BITS // 64, np.uint64(0x5555555555555555)
-    chance = 1 / (1 << BITS)
-
-    def pairs(rows: list):
-        node, comp, n, part, sig = (np.concatenate(x) for x in zip(*rows, strict=True))
-        two = len(np.unique(part)) > 1 or group[1] != group[2]
-        left = np.flatnonzero(part == group[1])
-        for x in left if two else range(len(node) - 1):
-            ys = np.flatnonzero(part == group[2]) if two else np.arange(x + 1, len(node))
-            ys = ys[(comp[ys] != comp[x]) & (100 * np.minimum(n[ys], n[x]) >= s.percent * np.maximum(n[ys], n[x]))]
-            if not len(ys):
-                continue
-            d = sig[ys] ^ sig[x]
-            differ = np.bitwise_count((d | (d >> np.uint64(1))) & mask).sum(axis=1)
-            ys = ys[(1 - differ / s.hashes - chance) / (1 - chance) >= s.cut]
-            a, b = np.maximum(node[ys], node[x]), np.minimum(node[ys], node[x])
-            if len(ys):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    group, held = None, []
+def _groups(batches, widths: int):
+    """Groups of rows with the same first three columns, from sorted batches, as (key, lists of column slices)."""
+    key, held = None, []
     for batch in batches:
-        key, i, j = (batch.column(k).to_numpy() for k in range(3))
-        cols = [batch.column(k).to_numpy() for k in range(3, 7)]
-        sig = batch.column(7).values.to_numpy()[batch.column(7).offsets[0].as_py() :].view(np.uint64).reshape(-1, width)
-        edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        for a, b in zip([0, *edge], [*edge, len(key)], strict=True):
-            if a == b:
-                continue
-            now = (key[a], i[a], j[a])
-            if now != group:
+        first = [batch.column(k).to_numpy() for k in range(3)]
+        if not len(first[0]):
+            continue
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in first], axis=0)) + 1
+        for a, b in zip([0, *edge], [*edge, len(first[0])], strict=True):
+            now = tuple(int(c[a]) for c in first)
+            if now != key:
                 if held:
-                    yield from pairs(held)
-                group, held = now, []
-            held.append((*(c[a:b] for c in cols), sig[a:b]))
+                    yield key, held
+                key, held = now, []
+            held.append([batch.column(k)[a:b] for k in range(3, 3 + widths)])
     if held:
-        yield from pairs(held)
+        yield key, held
+
+
+def _near_batches(batches, s: Settings):
+    """The nodes of each group (key, i, j) that may reach the threshold with a node of another component there."""
+    width, mask = s.hashes * BITS // 64, np.uint64(0x5555555555555555)
+    chance = 1 / (1 << BITS)
+    for (key, i, j), rows in _groups(batches, 5):
+        node, comp, n, part = (np.concatenate([r[k].to_numpy() for r in rows]) for k in range(4))
+        sig = np.concatenate([r[4].flatten().to_numpy() for r in rows]).view(np.uint64).reshape(-1, width)
+        near = np.zeros(len(node), bool)
+        for x in np.flatnonzero(part == i):
+            ys = np.flatnonzero((part == j) & (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= s.percent * np.maximum(n, n[x])))
+            if len(ys):
+                d = sig[ys] ^ sig[x]
+                differ = np.bitwise_count((d | (d >> np.uint64(1))) & mask).sum(axis=1)
+                ys = ys[(1 - differ / s.hashes - chance) / (1 - chance) >= s.cut]
+                near[ys] = True
+                near[x] |= len(ys) > 0
+        at = np.flatnonzero(near)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v, t)) for v, t in ((key, np.int64), (i, np.int32), (j, np.int32))] + [pa.array(node[at]), pa.array(comp[at])], names=["key", "i", "j", "node", "component"])
+
+
+def _across_batches(batches, s: Settings):
+    """Links between different components of each group (key, i, j), from the full shingle sets of its texts.
+
+    A group's shingles are inverted once; a node's intersections with all
+    others are then one count over its lists. Components that a link joins are
+    one from there on, so a group of m nodes gives fewer than m links.
+    """
+    maker = Sketcher(s)
+    for _, rows in _groups(batches, 5):
+        node, comp, h1, h2 = (np.concatenate([r[k].to_numpy() for r in rows]) for k in range(4))
+        words = [words_of(t) for r in rows for t in r[4].to_pylist()]
+        right = [identity(w) == (a, b) for w, a, b in zip(words, h1.tolist(), h2.tolist(), strict=True)]
+        node, comp = node[right], comp[right].copy()
+        sets = [maker.hashes(w) for w, ok in zip(words, right, strict=True) if ok]
+        if len(sets) < 2:
+            continue
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, term = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        owners, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
+        begin = np.concatenate([[0], np.cumsum(size)])
+        names, share = np.unique(comp, return_counts=True)
+        out = []
+        for x in np.flatnonzero(comp != names[share.argmax()]).tolist():
+            mine = term[begin[x] : begin[x + 1]]
+            length = start[mine + 1] - start[mine]
+            take = np.repeat(start[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            both = np.bincount(owners[take], minlength=len(sets))
+            hit = (100 * both >= s.percent * (size + size[x] - both)) & (comp != comp[x])
+            while hit.any():
+                y = int(hit.argmax())
+                out.append((max(node[x], node[y]), min(node[x], node[y])))
+                comp[comp == comp[y]] = comp[x]
+                hit &= comp != comp[x]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in out], pa.int64()), pa.array([int(b) for _, b in out], pa.int64())], names=["a", "b"])
 
 
 def group_near_duplicates(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,8 +347,10 @@ def _links(nodes: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "component", "n", "part", "sig")
     grouped = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = materialize(grouped.mapInArrow(lambda it: _across(it, s), "a long, b long").distinct(), "across")
-    return links.unionByName(_confirm(pairs, texts, s))
+    near = materialize(grouped.mapInArrow(lambda it: _near_batches(it, s), "key long, i int, j int, node long, component long"), "near")
+    full = near.join(texts, "node").select("key", "i", "j", "node", "component", "h1", "h2", "text")
+    full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return links.unionByName(materialize(full.mapInArrow(lambda it: _across_batches(it, s), "a long, b long").distinct(), "across"))
 
 
 def drop_near_duplicates(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
