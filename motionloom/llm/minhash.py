@@ -326,6 +326,7 @@ def group_near_duplicates(df: DataFrame, settings: Settings | None = None, id_co
 def _links(nodes: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
     entries = nodes.select("node", F.explode("bands").alias("key"))
     low = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    low = materialize(low, "keys")  # as a table of its own, so that the join can split a frequent key
     shared = materialize(entries.join(low, "key"), "buckets")
     met = shared.select("node").distinct()
     kept = materialize(nodes.join(met, "node", "left_semi").select("node", "h1", "h2", "n", "sig"), "met")

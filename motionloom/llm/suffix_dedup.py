@@ -295,6 +295,7 @@ def find_repeats(df: DataFrame, settings: Settings | None = None, id_col: str =
     rows = _source(df, id_col, text_col)
     marks = materialize(rows.select("id", "text_hash", "text").mapInArrow(lambda it: _anchor_batches(it, s), _ANCHOR), "anchors")
     shared = marks.groupBy("gram").agg(F.count("*").alias("n"), F.min("snippet").alias("lo"), F.max("snippet").alias("hi")).filter("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
+    shared = materialize(shared, "grams")  # as a table of its own, so that the join below can split a frequent gram
     found = materialize(marks.join(shared, "gram"), "candidates")
     # One place of each different snippet; how often it occurs.
     place = F.struct("id", "text_hash", "first", "last")
