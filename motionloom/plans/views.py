@@ -56,7 +56,7 @@ def transforms(spark: SparkSession) -> DataFrame:
     """A transform for every third frame of each clip, in closed form."""
     f = F.col("frame")
     grid = spark.range(CLIP_COUNT).select(F.col("id").alias("clip_id")).withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FRAMES - 1).cast("long"), F.lit(3).cast("long"))))
-    return grid.select("clip_id", (f + F.col("clip_id") * 1000).alias("row_id"), "frame", (1 + f / 4096).alias("a"), (-f / 8192).alias("b"), (f / 8192).alias("c"), (1 + f / 4096).alias("d"), (f % 17 - 8).cast("double").alias("tx"), (f % 11 - 5).cast("double").alias("ty"))
+    return grid.select("clip_id", (f + F.col("clip_id") * 1000).alias("row_id"), "frame", (1 + f / 4099).alias("a"), (-f / 8191).alias("b"), (f / 8191).alias("c"), (1 + f / 4099).alias("d"), (f % 17 - 8).cast("double").alias("tx"), (f % 11 - 5).cast("double").alias("ty"))
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ judged AS (
         speed BETWEEN 0 AND 22 AS ok_speed_implausible, abs(accel) <= 5 AS ok_accel_implausible
     FROM edged)"""
 TRANSFORMS = f"""tf AS (
-    SELECT clip_id, f + clip_id * 1000 AS row_id, f AS frame, 1 + f / 4096.0::DOUBLE AS a, -f / 8192.0::DOUBLE AS b, f / 8192.0::DOUBLE AS c, 1 + f / 4096.0::DOUBLE AS d, (f % 17 - 8)::DOUBLE AS tx, (f % 11 - 5)::DOUBLE AS ty
+    SELECT clip_id, f + clip_id * 1000 AS row_id, f AS frame, 1 + f / 4099.0::DOUBLE AS a, -f / 8191.0::DOUBLE AS b, f / 8191.0::DOUBLE AS c, 1 + f / 4099.0::DOUBLE AS d, (f % 17 - 8)::DOUBLE AS tx, (f % 11 - 5)::DOUBLE AS ty
     FROM (SELECT unnest(range(0, {FRAMES}, 3)) AS f), (SELECT unnest(range({CLIP_COUNT})) AS clip_id))"""
 _POSES = {f: p for f, p in ANCHORS}
 
