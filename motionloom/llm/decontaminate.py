@@ -276,7 +276,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, settings: Settings | None =
         summed = every.groupBy("id").agg(
             F.max("n_passages").alias("n_passages"), F.sum("n_retrieved").alias("n_retrieved"), F.max("contaminated").alias("contaminated"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("best_overlap").alias("best_overlap"),
-            F.count_if("part = 0").alias("copies"),
+            F.count_if(F.col("part") == 0).alias("copies"),
         )
         out = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("id.id", *(x.split(" ")[0] for x in _RESULT.split(", ")))
     return out.withColumnRenamed("id", id_col)

@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .shared import materialize, text_of, utf8_chunks
 
 GRAM = 32
+#: Stands for a null id inside.
+NO_ID = -(1 << 63)
 _ANCHOR = "gram long, snippet long, id long, text_hash long, first int, last int"
 
 
@@ -281,7 +283,8 @@ def _digest_batches(batches, s: Settings):
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    own = F.col(id_col).cast("long")
+    return df.select(own.alias("own_id"), F.coalesce(own, F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
 
 def find_repeats(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -362,12 +365,11 @@ def report(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_i
                 out.append((sum(b - a for a, b in spans), len(spans), hashlib.sha256(b"".join(kept_parts(data, spans))).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["id", "text_hash", "n_removed", "n_spans", "kept_sha256"])
 
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["text_hash"] == b["text_hash"])
-    changed = texts.join(repeats.withColumnsRenamed({"id": "rid", "text_hash": "rhash"}), F.col("id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash"))).select("id", "text_hash", "text", "windows")
+    changed = texts.join(repeats, ["id", "text_hash"]).select("id", "text_hash", "text", "windows")
     changed = changed.mapInArrow(cut, "id long, text_hash long, n_removed long, n_spans long, kept_sha256 string")
-    rows = _source(df, id_col, text_col).select("id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    out = rows.join(changed, same(rows, changed), "left")
-    return out.select(rows["id"].alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    rows = _source(df, id_col, text_col).select("own_id", "id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    out = rows.join(changed, ["id", "text_hash"], "left")
+    return out.select(F.col("own_id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 def remove_repeats(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,6 +388,6 @@ def remove_repeats(df: DataFrame, settings: Settings | None = None, id_col: str
 
         return pd.Series([t if w is None or t is None else "".join(p.decode("utf-8", "ignore") for p in kept_parts(t.encode("utf-8"), spans_of(w, s.length))) for t, w in zip(text, windows, strict=True)], dtype="object")
 
-    joined = df.join(repeats, F.col(id_col).cast("long").eqNullSafe(F.col("_repeat_id")) & (F.xxhash64(text_of(text_col)) == F.col("_repeat_hash")), "left")
+    joined = df.join(repeats, (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_repeat_id")) & (F.xxhash64(text_of(text_col)) == F.col("_repeat_hash")), "left")
     new = F.when(F.col("_repeat_windows").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col).cast("string"), F.col("_repeat_windows")))
     return joined.withColumn(text_col, new).select(*df.columns)
