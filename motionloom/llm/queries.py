@@ -25,7 +25,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = library_encode.with_end(public_tokenizers.path(WORD_BPE), 1)
-    return token_files.digests(token_files.write_and_read(table(spark, sf_dir, "documents"), encode))
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), encode, read=token_files.read_digests)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,19 +205,22 @@ def _read_shards(batches):
                 yield pa.RecordBatch.from_arrays([keys[a:b], pa.array(shard.starts[a:b] + start), pa.ListArray.from_arrays(pa.array(cut), pa.array(ids.astype(np.int64)))], names=["doc_id", "start", "ids"])
 
 
-def read_tokens(spark: SparkSession, manifest: list, id_type: str = "bigint") -> DataFrame:
-    """Columns doc_id, start (tokens of all documents before), ids array<long>, read from the files.
-
-    ``manifest``: the rows of write_tokens; one for each shard, not for each document.
-    """
+def _shards(spark: SparkSession, manifest: list) -> DataFrame:
+    """One row for each shard: its path, and the tokens of all shards before it."""
     rows, start = [], 0
     for m in sorted(manifest, key=lambda m: (m["part"], m["seq"])):
         rows.append((m["path"], start))
         start += m["n_tokens"]
     shards = spark.createDataFrame(rows, "path string, start long")
-    if len(rows) > 1:
-        shards = shards.repartition(len(rows), "path")
-    return shards.mapInArrow(_read_shards, f"doc_id {id_type}, start long, ids array<long>")
+    return shards.repartition(len(rows), "path") if len(rows) > 1 else shards
+
+
+def read_tokens(spark: SparkSession, manifest: list, id_type: str = "bigint") -> DataFrame:
+    """Columns doc_id, start (tokens of all documents before), ids array<long>, read from the files.
+
+    ``manifest``: the rows of write_tokens; one for each shard, not for each document.
+    """
+    return _shards(spark, manifest).mapInArrow(_read_shards, f"doc_id {id_type}, start long, ids array<long>")
 
 
 def _crc(batches):
@@ -228,15 +231,14 @@ def _crc(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """Columns doc_id, start, n_tokens, ids_crc32 of read_tokens' rows."""
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInArrow(_crc, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+def read_digests(spark: SparkSession, manifest: list, id_type: str = "bigint") -> DataFrame:
+    """Columns doc_id, start, n_tokens, ids_crc32 of what read_tokens reads; the ids themselves stay in the reading task."""
+    return _shards(spark, manifest).mapInArrow(lambda it: _crc(_read_shards(it)), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
-def write_and_read(df: DataFrame, encode: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, **options) -> DataFrame:
-    """Write all documents to a new shared folder and read them back from the files."""
+def write_and_read(df: DataFrame, encode: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, read=read_tokens, **options) -> DataFrame:
+    """Write all documents to a new shared folder and read them back from the files, as read_tokens or read_digests does."""
     spark = df.sparkSession
     folder = folder or new_folder(spark, "tokens")
     manifest = write_tokens(df, folder, encode, id_col, text_col, **options).collect()
-    return read_tokens(spark, manifest, df.schema[id_col].dataType.simpleString())
+    return read(spark, manifest, df.schema[id_col].dataType.simpleString())

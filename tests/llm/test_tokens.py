@@ -81,7 +81,9 @@ def test_shard_random_access(width):
 def test_token_files_round_trip(spark, library, size):
     rows = list(enumerate(TEXTS)) + [(3, "same id, other text"), (-5, "first"), (7, TEXTS[7])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash"))
-    got = token_files.digests(token_files.write_and_read(df, library_encode.with_end(PATH, 1), shard_tokens=size)).collect()
+    got = token_files.write_and_read(df, library_encode.with_end(PATH, 1), read=token_files.read_digests, shard_tokens=size).collect()
+    whole = token_files.write_and_read(df, library_encode.with_end(PATH, 1), shard_tokens=size).collect()
+    assert sorted((r["start"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in whole) == sorted((r["start"], r["ids_crc32"]) for r in got)
     assert len(got) == len(rows)
     got.sort(key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted(i for i, _ in rows)
