@@ -156,6 +156,12 @@ def estimate(a: str, b: str, s: Settings) -> Column:
     return (1 - F.expr(differ) / s.hashes - chance) / (1 - chance)
 
 
+def _with_minimum(edges: DataFrame, low: DataFrame, salts: int = 8) -> DataFrame:
+    """Edges (a, b) with the minimum m of a. A node with a large share of the edges is salted by its neighbours."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["a", "salt"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), as (node, component), by alternating large and small stars.
 
@@ -167,11 +173,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_minimum(both.filter("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         # A node already in a star keeps its edge to the minimum; its other neighbours get that minimum.
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = _with_minimum(large, low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = materialize(small.filter("a <> b").distinct(), "edges")
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
