@@ -492,6 +492,12 @@ def knn_ratio_match(spark, sf):
     return matching.ratio_matches(pairs, ["vec_id", "label"], 0.8)
 
 
+@query("WITH p AS (SELECT l.vec_id, l.label, q.vec_id AS candidate, round(list_sum(list_transform(range(1, len(l.embedding) + 1), lambda i: abs(l.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 9) AS distance FROM embeddings l JOIN embeddings q ON l.label = q.label AND l.vec_id <> q.vec_id AND len(l.embedding) = len(q.embedding)), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY distance, candidate) AS n FROM p), b AS (SELECT vec_id, label, max(candidate) FILTER (n = 1) AS candidate, max(distance) FILTER (n = 1) AS distance, max(distance) FILTER (n = 2) AS second FROM o WHERE n <= 2 GROUP BY ALL) SELECT * FROM b WHERE distance < 0.8::DOUBLE * second")
+def knn_ratio_match_whole(spark, sf):
+    """The ratio test over all components of the vectors; knn_ratio_match and its SQL read the first eight."""
+    return matching.ratio_matches(matching.nearest_two(V.table(spark, sf, "embeddings")), ["vec_id", "label"], 0.8)
+
+
 def _descriptors(spark, sf, side: int):
     e = V.table(spark, sf, "events").filter(F.col("event_id") % 2 == side)
     return e.select(F.lit(0).cast("long").alias("clip_id"), F.floor(F.col("event_id") / 40).alias("pair_id"), F.col("event_id").alias("key_id"), F.array(F.col("event_id") * F.col("user_id"), F.col("event_id") * 7919).alias("descriptor"))

@@ -166,3 +166,24 @@ def test_association_keeps_ids(spark):
     d = spark.createDataFrame(rows, "clip_id long, frame long, det_ind int, x double, y double, w double, h double")
     ids = {r.track_id for r in matching.associate(d, 0.3).collect()}
     assert ids == {0, 1, 2}
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_two_nearest_over_all_components(spark, block):
+    rng = np.random.default_rng(3)
+    spots = rng.normal(size=(6, 64)) * 4
+    v = np.float32(spots[rng.integers(0, 6, 120)] + rng.normal(size=(120, 64)))
+    v[:, :8] = 0.5  # a prefix can't tell them apart
+    v[10:15], v[30] = v[9], v[31]
+    rows = [(i, v[i].tolist(), i % 2) for i in range(120)]
+    rows += [(200, None, 0), (201, [1.0, None], 0), (202, [float("nan")] * 64, 1), (203, v[0].tolist(), None), (204, [1.0], 1)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = {}
+    for i in range(120):
+        near = sorted((round(float(np.abs(v[i].astype(float) - v[j]).sum()), 9), j) for j in range(i % 2, 120, 2) if j != i)
+        want[i] = near
+    near = matching.nearest_two(e, block)
+    got = {}
+    for r in matching.ratio_matches(near, ["vec_id", "label"], 0.95).collect():
+        got[r.vec_id] = (r.candidate, pytest.approx(r.distance, abs=1e-8))
+    assert got == {i: (n[0][1], n[0][0]) for i, n in want.items() if n[0][0] < 0.95 * n[1][0]} and got
