@@ -7,7 +7,7 @@ all items. Items stand in blocks; each list has its greatest impact, and its
 greatest impact in each block.
 
 Every document is cut into overlapping passages of twice the longest item's
-length, and each passage is a query. Passages whose list maxima can't reach
+length and room for text between its parts, and each passage is a query. Passages whose list maxima can't reach
 the threshold are done; so are blocks whose block maxima can't. In the blocks
 that remain the cursors of the lists go item by item, skipping to the pivot.
 All items at or above the threshold are retrieved, and a retrieved item counts
@@ -44,6 +44,8 @@ class Settings:
     overlap: float = 0.8
     #: A question alone is enough from so many words on.
     question_words: int = 13
+    #: Words between question and answer that fit a passage wherever it begins.
+    between: int = 32
     #: Items and bytes of one index; a larger benchmark is done in parts.
     index_items: int = 20_000
     index_bytes: int = 8_000_000
@@ -76,6 +78,8 @@ class Index:
         self.answer = [shingles(words_of(a), s.shingle) for _, a in parts]
         self.asked = [len(words_of(q)) for q, _ in parts]
         self.longest = max(map(len, self.words), default=0)
+        #: Words from one passage to the next; a passage has two such steps.
+        self.step = max(1, self.longest + s.between)
         n = len(self.items)
         mean = sum(map(len, self.words)) / n if n else 1.0
         self.term: dict[str, int] = {}
@@ -181,21 +185,30 @@ class Index:
 
     def verify(self, words: list[str], item: int) -> float | None:
         """The item's overlap with the passage if question and answer are verified, else None."""
-        own = shingles(words, self.s.shingle)
-        if len(self.words[item]) < self.s.shingle:
-            k = len(self.words[item])
-            own = shingles(words, k)
-        share = lambda part: len(part & own) / len(part) if part else 1.0
+        seen: dict[int, set[tuple[str, ...]]] = {}
+
+        def share(part: set[tuple[str, ...]]) -> float:
+            if not part:
+                return 1.0
+            k = len(next(iter(part)))  # a part with fewer words than a shingle is one shingle
+            if k not in seen:
+                seen[k] = shingles(words, k)
+            return len(part & seen[k]) / len(part)
+
         whole = share(self.whole[item])
         if whole >= self.s.overlap:
             return whole
-        if self.asked[item] >= self.s.question_words and share(self.question[item]) >= self.s.overlap:
-            return whole
+        question, answer = self.question[item], self.answer[item]
+        if question and share(question) >= self.s.overlap:
+            if self.asked[item] >= self.s.question_words:
+                return whole
+            if answer and len(self.words[item]) >= self.s.shingle and share(answer) >= self.s.overlap:
+                return whole
         return None
 
 
 def _search(batches, index: Index):
-    step = max(1, index.longest)
+    step = index.step
     for batch in batches:
         for a, b in utf8_chunks(batch.column(1)):
             texts = [words_of(t) for t in batch.column(1)[a:b].to_pylist()]
@@ -243,7 +256,10 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, settings: Settings | None =
 
     An item is verified in a passage if the share of its distinct five-word
     shingles there is at least ``overlap``, or if that of its question (all
-    but the last sentence) is and the question has ``question_words`` or more.
+    but the last sentence) is and the question has ``question_words`` or more,
+    or if those of question and answer (the last sentence) both are, whatever
+    stands between. Up to ``between`` words there fit a passage in any place.
+    A part with fewer words than a shingle must be there as a whole.
     Defined results: a null or empty text has no passages and is clean; an
     empty benchmark leaves all clean; items without words are never found;
     items with fewer words than a shingle must be there as a whole; repeated

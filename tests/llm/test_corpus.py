@@ -250,6 +250,18 @@ def test_wand_retrieves_all_above_threshold():
             assert got == {i for i, x in score.items() if x >= 0.4 - 1e-9}
 
 
+def test_leak_with_text_between_question_and_answer(spark):
+    question, answer = "Which river runs past the old glass mill?", "The slow brown Tarn does."
+    items = spark.createDataFrame([(1, f"{question} {answer}"), (2, " ".join(f"w{i}" for i in range(20)) + ".")], "item_id long, text string")
+    fill = lambda n: " ".join(f"f{i}" for i in range(n))
+    docs = [(n, f"{fill(n)} {question} So the answer here: {answer} {fill(30)}") for n in range(60)]
+    docs += [(100, f"{fill(20)} {question} {fill(40)}"), (101, f"{fill(20)} {answer} {fill(40)}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_leaks(df, items).collect()}
+    assert got == {i: [1] if i < 100 else [] for i, _ in docs}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(df, items).collect()} == {100, 101}
+
+
 # The pipeline
 
 @tables
