@@ -3,7 +3,8 @@
 The inverted index holds the test items: for each term the items in order of
 their number, with BM25 impacts that are divided by the item's own score. So a
 passage with all terms of an item scores 1 for it, and one threshold serves
-all items. Items stand in blocks; each list has its greatest impact, and its
+all items. An item that can be verified with a lower score, as by a question
+that weighs less than its answer, has its impacts raised by as much. Items stand in blocks; each list has its greatest impact, and its
 greatest impact in each block.
 
 Every document is cut into overlapping passages of twice the longest item's
@@ -35,7 +36,7 @@ _RESULT = "n_passages long, n_retrieved long, contaminated boolean, item_ids arr
 class Settings:
     k1: float = 1.2
     b: float = 0.75
-    #: Least share of an item's own BM25 score that a passage must reach.
+    #: Share of an item's own BM25 score that a passage must reach, or less where less can be verified.
     threshold: float = 0.5
     #: Items in a block of the index.
     block: int = 4
@@ -103,7 +104,13 @@ class Index:
             impacts.append(row)
         #: Postings by term: item numbers and impacts.
         self.at = [[i for i, _ in postings] for postings in lists]
-        self.impact = [[x / own[i] for (i, _), x in zip(postings, row, strict=True)] for postings, row in zip(lists, impacts, strict=True)]
+        weight: list[dict[str, float]] = [{} for _ in range(n)]
+        for w, t in self.term.items():
+            for (i, _), x in zip(lists[t], impacts[t], strict=True):
+                weight[i][w] = x / own[i]
+        #: What an item's impacts are raised by, so that whatever can be verified reaches the threshold.
+        self.raised = [max(1.0, s.threshold / self._least(i, weight[i])) for i in range(n)]
+        self.impact = [[x / own[i] * self.raised[i] for (i, _), x in zip(postings, row, strict=True)] for postings, row in zip(lists, impacts, strict=True)]
         self.top = np.array([max(x) for x in self.impact])
         self.blocks = max(1, -(-n // s.block))
         entries = []
@@ -116,6 +123,32 @@ class Index:
         self.entry_block = np.array([b for _, b, _ in entries], np.int64)
         self.entry_most = np.array([x for *_, x in entries])
 
+    def _least(self, item: int, weight: dict[str, float]) -> float:
+        """A lower bound of the score of any passage in which the item is verified.
+
+        A word is away only if all shingles with it are, so the lost shingles'
+        shares of their words' weights are at least the weight of the words lost.
+        """
+
+        def kept(*parts: set[tuple[str, ...]]) -> float:
+            total = sum(weight[w] for w in {w for part in parts for sh in part for w in sh})
+            for part in parts:
+                held: dict[str, int] = {}
+                for sh in part:
+                    for w in set(sh):
+                        held[w] = held.get(w, 0) + 1
+                lost = len(part) - int(np.ceil(self.s.overlap * len(part) - 1e-9))
+                total -= sum(sorted((sum(weight[w] / held[w] for w in set(sh)) for sh in part), reverse=True)[:lost])
+            return total
+
+        question, answer = self.question[item], self.answer[item]
+        bounds = [kept(self.whole[item])]
+        if question and self.asked[item] >= self.s.question_words:
+            bounds.append(kept(question))
+        elif question and answer:
+            bounds.append(kept(question, answer))
+        return max(min(bounds), 1e-6)
+
     def in_block(self, terms: list[int], block: int) -> list[tuple[int, float]]:
         """Document-at-a-time WAND over one block: the items that reach the threshold."""
         need, end = self.s.threshold, (block + 1) * self.s.block
@@ -261,7 +294,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, settings: Settings | None =
     stands between. Up to ``between`` words there fit a passage in any place.
     A part with fewer words than a shingle must be there as a whole.
     Defined results: a null or empty text has no passages and is clean; an
-    empty benchmark leaves all clean; items without words are never found;
+    empty benchmark leaves all clean; whatever a passage verifies is retrieved; items without words are never found;
     items with fewer words than a shingle must be there as a whole; repeated
     rows give repeated results; null ids stay null. Only the named columns are
     read.

@@ -262,6 +262,26 @@ def test_leak_with_text_between_question_and_answer(spark):
     assert {r["doc_id"] for r in decontaminate.drop_leaks(df, items).collect()} == {100, 101}
 
 
+def test_verified_parts_are_retrieved():
+    rng = random.Random(2)
+    words = [f"k{i}" for i in range(400)]
+    take = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, f"{take(rng.randint(3, 24))}? {take(rng.randint(1, 60))}.") for i in range(60)]
+    index = decontaminate.Index(items, decontaminate.Settings())
+    low = 0
+    for i, (_, text) in enumerate(index.items):
+        question, answer = (decontaminate.words_of(p) for p in decontaminate.question_and_answer(text))
+        whole = question + answer
+        tries = [question, question[len(question) // 8 :], question[1:-1], whole[len(whole) // 7 :], whole[: -len(whole) // 7], [*question, "x", "y", *answer], [*question[1:], "x", *answer[1:]]]
+        for passage in tries:
+            ids = np.array([index.term.get(w, -1) for w in passage] + [-1])
+            found = {j for _, j in index.candidates(ids, np.zeros(len(ids), np.int64))}
+            if index.verify(passage, i) is not None:
+                assert i in found
+                low += sum(index.impact[t][index.at[t].index(i)] / index.raised[i] for t in set(ids.tolist()) if t >= 0 and i in index.at[t]) < 0.5
+    assert low > 5
+
+
 # The pipeline
 
 @tables
