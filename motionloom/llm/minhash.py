@@ -361,12 +361,22 @@ def _links(nodes: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def drop_near_duplicates(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are kept, one of each group, with all their columns. Of rows with one id any one stays."""
-    found = materialize(group_near_duplicates(df, settings, id_col, text_col).select(F.col(id_col).alias("id"), "kept"), "kept")
-    kept = found.filter("kept").groupBy("id").count()
+    """The rows that are kept, one of each group, with all their columns. Of rows with one id any one stays.
+
+    Rows with a null id are grouped by their texts like the others, as ids
+    above all usual ones; those without words all stay.
+    """
+    key = "near_duplicate_key"
+    stand_in = F.xxhash64(text_of(text_col)).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), stand_in))
+    found = materialize(group_near_duplicates(keyed, settings, key, text_col).select(F.col(key).alias("id"), "n_shingles", "kept"), "kept")
+    kept = found.filter("kept").groupBy("id").agg(F.count("*").alias("count"), F.max("n_shingles").alias("near_duplicate_words"))
     kept = materialize(kept, "kept_ids")
-    out = df.join(kept.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    out = keyed.join(kept.select(F.col("id").alias(key)), key, "left_semi")
     if kept.filter("count > 1").isEmpty():
-        return out
-    many = kept.filter("count > 1").select(F.col("id").alias(id_col))
-    return out.join(many, id_col, "left_anti").unionByName(out.join(many, id_col, "left_semi").dropDuplicates([id_col]))
+        return out.select(*df.columns)
+    many = kept.filter("count > 1").select(F.col("id").alias(key), "near_duplicate_words")
+    among = out.join(many, key)
+    bare = F.col(id_col).cast("long").isNull() & (F.col("near_duplicate_words") == 0)
+    parts = [out.join(many, key, "left_anti"), among.filter(bare), among.filter(~bare).dropDuplicates([key])]
+    return parts[0].select(*df.columns).unionByName(parts[1].select(*df.columns)).unionByName(parts[2].select(*df.columns))

@@ -163,6 +163,16 @@ def test_near_duplicate_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2] and set(kept.columns) == {"doc_id", "text", "lang"}
 
 
+def test_rows_with_null_ids_through_the_stage(spark):
+    import corpus_pipeline as P
+
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(4, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (None, text("b") + " end"), (None, text("c")), (None, None), (None, None), (None, "!"), (7, text("d"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], (r["text"] or "-")[0]) for r in P.near_duplicates(spark, df, "").collect())
+    assert got == {(4, "a"): 1, (None, "b"): 1, (None, "c"): 1, (None, "-"): 2, (None, "!"): 1, (7, "d"): 1}
+
+
 def test_estimate_is_unbiased(spark):
     s = minhash.Settings()
     maker, rng = minhash.Sketcher(s), random.Random(3)
