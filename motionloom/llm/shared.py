@@ -48,6 +48,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted_join(big: DataFrame, side: DataFrame, keys: list[str], count: str, share: int = 1 << 13) -> DataFrame:
+    """Inner join of ``big`` with ``side``, where column ``count`` of side says how many rows of big have the key at most.
+
+    Side rows that stand for more than one in ``share`` of the counted rows
+    are sent to every task, so that a frequent key isn't dealt to one: there
+    are fewer than ``share`` of them at any size. The others are merge-joined.
+    Both tables are read twice; pass written ones. Without frequent keys it is
+    a merge join.
+    """
+    total = side.agg(F.coalesce(F.sum(F.col(count).cast("double")), F.lit(0.0))).first()[0]
+    often = F.col(count) * share > total
+    heavy = side.filter(often)
+    if heavy.isEmpty():
+        return big.join(side.hint("merge"), keys)
+    rest = big.join(F.broadcast(heavy.select(*keys).distinct()), keys, "left_anti")
+    return big.join(F.broadcast(heavy), keys).unionByName(rest.join(side.filter(~often).hint("merge"), keys))
+
+
 def text_of(column: str = "text") -> Column:
     """The text of a row; a null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

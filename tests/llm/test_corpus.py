@@ -76,22 +76,95 @@ def corpus(seed):
     return texts + texts[10:13]
 
 
-@pytest.mark.parametrize(("length", "hot", "batch"), [(200, 4096, 1 << 18), (200, 2, 1 << 18), (64, 4096, 3000)])
-def test_repeats_match_brute_force(spark, length, hot, batch):
+@pytest.mark.parametrize(("length", "reach", "batch"), [(200, 1 << 19, 1 << 16), (200, 300, 1 << 16), (64, 1 << 19, 3000), (64, 40, 1 << 16)])
+def test_repeats_match_brute_force(spark, length, reach, batch):
     texts = corpus(length)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"gram": F.lit(1), "windows": F.lit(2), "id": F.lit("x"), "text_hash": F.lit(0)})
-    got = {r["doc_id"]: tuple(r[1:]) for r in suffix_dedup.report(df, suffix_dedup.Settings(length, hot, batch)).collect()}
+    got = {r["doc_id"]: tuple(r[1:]) for r in suffix_dedup.report(df, suffix_dedup.Settings(length, reach, batch)).collect()}
     assert got == dict(enumerate(repeats(texts, length)))
 
 
+def digest_repeats(texts, length):
+    """As repeats, for many texts: windows by their digest."""
+    from xxhash import xxh3_128_digest
+
+    data = [t.encode() for t in texts]
+    counts = collections.Counter(xxh3_128_digest(d[i : i + length]) for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - length + 1):
+            if counts[xxh3_128_digest(d[i : i + length])] > 1:
+                gone[i : i + length] = True
+        out.append((len(d), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~gone])).hexdigest()))
+    return out
+
+
+def test_frequent_gram(spark):
+    """One passage in 11 000 different texts: its grams have more windows than one task may get."""
+    rng = random.Random(11)
+    line = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, tails = line(120), [line(90) for _ in range(50)]
+    texts = [line(90) + passage + (line(90) if i % 20 else rng.choice(tails)) for i in range(11_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[1:]) for r in suffix_dedup.report(df).collect()}
+    assert got == dict(enumerate(digest_repeats(texts, 200))) and sum(r[1] > 0 for r in got.values()) >= 500
+
+
+def test_levels_grow_and_merge(monkeypatch):
+    deepest = []
+
+    class Recorded(suffix_dedup.IndexFamily):
+        def add(self, keys, names):
+            out = super().add(keys, names)
+            deepest.append(max(size for size, _, _ in self.levels))
+            return out
+
+    monkeypatch.setattr(suffix_dedup, "IndexFamily", Recorded)
+    rng = random.Random(4)
+    some = lambda n: bytes(rng.choices(b"abc", k=n))
+    gram, ends = some(192), [some(5) for _ in range(40)]
+    rows = [(1, i, 1 + (i % 997 == 0), some(5) + gram + (some(8) if i % 3 else rng.choice(ends) + some(3))) for i in range(10_500)]
+    counts = collections.Counter()
+    for *_, n, d in rows:
+        counts.update({d[i : i + 200]: n for i in range(len(d) - 199)} if len({d[i : i + 200] for i in range(len(d) - 199)}) == len(d) - 199 else collections.Counter(d[i : i + 200] for i in range(len(d) - 199) for _ in range(n)))
+    want = {i: [counts[d[k : k + 200]] > 1 for k in range(len(d) - 199)] for _, i, _, d in rows}
+    got = {name: flags.tolist() for _, name, _, flags in suffix_dedup.repeated_windows(iter(rows), 200, 1 << 16)}
+    assert got == want and max(deepest) >= 4 and len(deepest) >= 30
+
+
+def test_pieces_hold_each_window_once():
+    rng = random.Random(5)
+    data, at = bytes(rng.choices(b"xyz", k=330)), 110
+    for depth in range(1, 9):
+        starts = sorted(base + k for _, _, base, _, piece in suffix_dedup.divided(data, at, depth, 200) for k in range(len(piece) - 199))
+        assert starts == list(range(131))
+        for _, core, base, place, piece in suffix_dedup.divided(data, at, depth, 200):
+            assert base + place == at and all(core in piece[k : k + 200] for k in range(len(piece) - 199))
+
+
+def test_one_very_long_run(spark):
+    import tracemalloc
+
+    data = np.full(20_000_000, 32, np.uint8)
+    tracemalloc.start()
+    found = suffix_dedup.anchors(data, 200)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20 and len(found[0]) < 100 and found[5].sum() == len(data) - 199
+    tracemalloc.stop()
+    df = spark.createDataFrame([(1,), (2,)], "doc_id long").withColumn("text", F.expr("CASE doc_id WHEN 1 THEN repeat(' ', 20000000) ELSE concat('start ', repeat('abc', 100), ' end') END"))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.report(df).collect()}
+    assert got == {1: (20_000_000, 20_000_000, 1), 2: (310, 300, 1)}
+
+
 def test_repeated_rows_and_empty_tables(spark):
     text = "x" + "".join(random.Random(1).choice("abcdef ") for _ in range(300))
     df = spark.createDataFrame([(1, text), (1, text), (2, "other"), (None, text)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffix_dedup.report(df).collect())
     assert got == [(0, 301), (1, 301), (1, 301), (2, 0)]
     assert suffix_dedup.report(df.limit(0)).count() == 0
-    out = suffix_dedup.remove_repeats(df.withColumn("windows", F.lit(5)))
-    assert out.columns == ["doc_id", "text", "windows"] and sorted(r["text"] for r in out.collect()) == ["", "", "", "other"]
+    clash = {c: F.lit(5) for c in ("windows", "_repeat_id", "row", "id", "text_hash", "gram.x")}
+    out = suffix_dedup.remove_repeats(df.withColumns(clash))
+    assert out.columns == ["doc_id", "text", *clash] and sorted(r["text"] for r in out.collect()) == ["", "", "", "other"]
 
 
 def test_index_family_levels():
