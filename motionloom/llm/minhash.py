@@ -9,16 +9,25 @@
    chance agreement; pairs that may reach the threshold are confirmed on their
    full shingle sets. Links give components. A second star, with another
    centre, follows for buckets that still hold several components.
-3. In the buckets that then still hold several components, members are compared
-   across components in blocks of bounded size: first by estimate, which gives
-   the nodes that may have a link there, then those nodes' full shingle sets,
-   inverted once for each block. A block gives only links that join
-   components. A pair within one component needs no test, so no link that
-   could join two components is left out, and no pairs are ever sent around.
-
-With 40 bands of 4 a pair at similarity 0.8 shares no bucket with probability
-7e-10; the estimate's cut lies more than 5 standard deviations below the
-threshold.
+3. The nodes of buckets that then still hold several components are compared
+   across components by their rare shingles. Two sets that reach the threshold
+   share one of the rarest fifth of either, so only nodes that share such a
+   shingle, one that at most ``rare`` nodes have, make a pair: their number
+   grows with the nodes, not with the square of a bucket. What they share and
+   what is left bounds their intersection; the pairs that can reach the
+   threshold are confirmed on their full sets.
+4. What is left are nodes with too few rare shingles, that is close copies of
+   something frequent. A pair of them without a rare shingle in common shares
+   frequent ones at most, which rules most pairs out by size alone. In a bucket
+   only those outside its largest component are compared with the others, in
+   blocks of bounded size: first by estimate, which gives the nodes that may
+   have a link there, then those nodes' full shingle sets, inverted once for
+   each block. A block gives only links that join components.
+
+A pair within one component needs no test, so no link that could join two
+components is left out. With 40 bands of 4 a pair at similarity 0.8 shares no
+bucket with probability 7e-10; the estimate's cut lies more than 5 standard
+deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -30,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_of, utf8_chunks
+from .shared import counted_join, materialize, text_of, utf8_chunks
 
 BITS = 2
-_PRINT = "n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"
+_PRINT = "id long, r1 long, r2 long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"
 
 
 @dataclass(frozen=True)
@@ -49,6 +58,8 @@ class Settings:
     block: int = 1024
     #: Members that meet one copy of a centre's text.
     fan: int = 512
+    #: Nodes that may share a shingle that counts as rare.
+    rare: int = 32
     seed: int = 7
 
     @property
@@ -127,9 +138,9 @@ def identity(words: list[bytes]) -> tuple[int, int]:
 def _sketches(batches, s: Settings):
     maker, width = Sketcher(s), s.hashes * BITS // 64
     for batch in batches:
-        for a, b in utf8_chunks(batch.column(1)):
+        for a, b in utf8_chunks(batch.column(3)):
             n, h1, h2, bands, sigs, some = [], [], [], [], [], []
-            for text in batch.column(1)[a:b].to_pylist():
+            for text in batch.column(3)[a:b].to_pylist():
                 words = words_of(text)
                 i, j = identity(words)
                 h1.append(i)
@@ -144,7 +155,7 @@ def _sketches(batches, s: Settings):
                 n.append(count)
             here = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(here * w), pa.array(np.concatenate(v) if v else np.empty(0, np.int64))) for v, w in ((bands, s.bands), (sigs, width))]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *lists], names=["id", "n_shingles", "h1", "h2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *lists], names=[x.split(" ")[0] for x in _PRINT.split(", ")])
 
 
 def estimate(a: str, b: str, s: Settings) -> Column:
@@ -156,10 +167,10 @@ def estimate(a: str, b: str, s: Settings) -> Column:
     return (1 - F.expr(differ) / s.hashes - chance) / (1 - chance)
 
 
-def _with_minimum(edges: DataFrame, low: DataFrame, salts: int = 8) -> DataFrame:
-    """Edges (a, b) with the minimum m of a. A node with a large share of the edges is salted by its neighbours."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["a", "salt"])
+def _with_minimum(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the minimum m of a's neighbours. Nodes with a large share of the edges are joined apart."""
+    low = materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")), "low")
+    return counted_join(edges, low, ["a"], "degree")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,12 +183,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = _with_minimum(both.filter("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = _with_minimum(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = materialize(large.filter("a <> b").distinct(), "large")
         # A node already in a star keeps its edge to the minimum; its other neighbours get that minimum.
-        small = _with_minimum(large, low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = _with_minimum(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = materialize(small.filter("a <> b").distinct(), "edges")
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
@@ -191,32 +200,30 @@ def _confirm_batches(batches, s: Settings):
     here, centre = None, set()
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for key, salt, kind, node, h1, h2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = words_of(text)
-            if identity(words) != (h1, h2):
-                continue  # another text under the same id
-            if kind == 0:
-                here, centre = (key, salt), shingle_set(words, s.shingle)
-            elif here == (key, salt):
-                own = shingle_set(words, s.shingle)
-                both = len(centre & own)
-                if 100 * both >= s.percent * (len(centre) + len(own) - both):
-                    out.append((node, key))
+        for a, b in utf8_chunks(batch.column(4)):
+            for key, salt, kind, node, text in zip(*(c[a:b].to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    here, centre = (key, salt), shingle_set(words_of(text), s.shingle)
+                elif here == (key, salt):
+                    own = shingle_set(words_of(text), s.shingle)
+                    both = len(centre & own)
+                    if 100 * both >= s.percent * (len(centre) + len(own) - both):
+                        out.append((node, key))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. b is the centre of many a.
 
-    texts: node, h1, h2, text. A centre with many members is salted, and its
-    text goes along once for each salt.
+    texts: node, text. A centre with many members is salted, and its text goes
+    along once for each salt.
     """
-    fan = pairs.groupBy("b").agg(F.ceil(F.count("*") / s.fan).cast("int").alias("salts"))
-    salted = pairs.join(fan, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-    salted = materialize(salted, "pairs")
-    rows = salted.select(F.col("b").alias("centre"), "salt", F.lit(1).alias("kind"), F.col("a").alias("node"))
-    rows = rows.unionByName(salted.select(F.col("b").alias("centre"), "salt", F.lit(0).alias("kind"), F.col("b").alias("node")).distinct())
-    rows = rows.join(texts, "node").select("centre", "salt", "kind", "node", "h1", "h2", "text")
+    pairs = materialize(pairs, "likely")
+    fan = materialize(pairs.groupBy("b").agg(F.count("*").alias("members")), "fan")
+    salts = F.ceil(F.col("members") / s.fan).cast("int")
+    salted = counted_join(pairs, fan, ["b"], "members").select(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("a").alias("node"))
+    own = fan.select(F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("node"))
+    rows = salted.unionByName(own).join(texts.hint("merge"), "node").select("centre", "salt", "kind", "node", "text")
     rows = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind")
     return materialize(rows.mapInArrow(lambda it: _confirm_batches(it, s), "a long, b long"), "links")
 
@@ -241,22 +248,29 @@ def _groups(batches, widths: int):
 
 
 def _near_batches(batches, s: Settings):
-    """The nodes of each group (key, i, j) that may reach the threshold with a node of another component there."""
+    """The nodes of each group (key, i, j) that may reach the threshold with a node of another component there.
+
+    Rows with side 0 are compared with those of side 1. A pair shares no more
+    than the frequent shingles that both have.
+    """
     width, mask = s.hashes * BITS // 64, np.uint64(0x5555555555555555)
     chance = 1 / (1 << BITS)
-    for (key, i, j), rows in _groups(batches, 5):
-        node, comp, n, part = (np.concatenate([r[k].to_numpy() for r in rows]) for k in range(4))
-        sig = np.concatenate([r[4].flatten().to_numpy() for r in rows]).view(np.uint64).reshape(-1, width)
+    for (key, i, j), rows in _groups(batches, 6):
+        node, comp, n, often, side = (np.concatenate([r[k].to_numpy() for r in rows]) for k in range(5))
+        sig = np.concatenate([r[5].flatten().to_numpy() for r in rows]).view(np.uint64).reshape(-1, width)
         near = np.zeros(len(node), bool)
-        for x in np.flatnonzero(part == i):
-            ys = np.flatnonzero((part == j) & (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= s.percent * np.maximum(n, n[x])))
+        others = side == 1
+        for x in np.flatnonzero(side == 0):
+            ys = np.flatnonzero(others & (comp != comp[x]) & ((100 + s.percent) * np.minimum(often, often[x]) >= s.percent * (n + n[x])) & (100 * np.minimum(n, n[x]) >= s.percent * np.maximum(n, n[x])))
             if len(ys):
                 d = sig[ys] ^ sig[x]
                 differ = np.bitwise_count((d | (d >> np.uint64(1))) & mask).sum(axis=1)
                 ys = ys[(1 - differ / s.hashes - chance) / (1 - chance) >= s.cut]
                 near[ys] = True
                 near[x] |= len(ys) > 0
-        at = np.flatnonzero(near)
+        _, at = np.unique(node, return_index=True)  # a node can stand on both sides
+        both = np.isin(node[at], node[near])
+        at = at[both]
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v, t)) for v, t in ((key, np.int64), (i, np.int32), (j, np.int32))] + [pa.array(node[at]), pa.array(comp[at])], names=["key", "i", "j", "node", "component"])
 
@@ -269,14 +283,10 @@ def _across_batches(batches, s: Settings):
     one from there on, so a group of m nodes gives fewer than m links.
     """
     maker = Sketcher(s)
-    for _, rows in _groups(batches, 5):
-        node, comp, h1, h2 = (np.concatenate([r[k].to_numpy() for r in rows]) for k in range(4))
-        words = [words_of(t) for r in rows for t in r[4].to_pylist()]
-        right = [identity(w) == (a, b) for w, a, b in zip(words, h1.tolist(), h2.tolist(), strict=True)]
-        node, comp = node[right], comp[right].copy()
-        sets = [maker.hashes(w) for w, ok in zip(words, right, strict=True) if ok]
-        if len(sets) < 2:
-            continue
+    for _, rows in _groups(batches, 3):
+        node, comp = (np.concatenate([r[k].to_numpy() for r in rows]) for k in range(2))
+        comp = comp.copy()
+        sets = [maker.hashes(words_of(t)) for r in rows for t in r[2].to_pylist()]
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         owner = np.repeat(np.arange(len(sets)), size)
         _, term = np.unique(np.concatenate(sets), return_inverse=True)
@@ -300,6 +310,85 @@ def _across_batches(batches, s: Settings):
             yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in out], pa.int64()), pa.array([int(b) for _, b in out], pa.int64())], names=["a", "b"])
 
 
+def _token_batches(batches, s: Settings):
+    """Rows (node, text) as (token, node): a hash of each distinct shingle."""
+    maker = Sketcher(s)
+    for batch in batches:
+        for a, b in utf8_chunks(batch.column(1), 1 << 18):
+            sets = [maker.hashes(words_of(t)) for t in batch.column(1)[a:b].to_pylist()]
+            nodes = np.repeat(batch.column(0)[a:b].to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], names=["token", "node"])
+
+
+def rare_prefixes(tokens: DataFrame, s: Settings) -> DataFrame:
+    """From rows (token, node, n): node, n, prefix array<long>, passed, edge, often.
+
+    A node's shingles stand in one global order, the rarest first. The prefix
+    are those among its first n - need + 1 that two to ``rare`` nodes have;
+    passed: how many of its shingles come up to the prefix's end, unique ones
+    included; edge: the place in the order up to which all of them do; often:
+    its shingles that more than ``rare`` nodes have. A node whose first n -
+    need + 1 shingles are all its own can't have a partner and is left out;
+    complete tells that all partners share a shingle of the prefix.
+    """
+    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "frequency")
+    met = counted_join(tokens, counts, ["token"], "df")
+    listed = met.groupBy("node", "n").agg(F.count_if(F.col("df") > s.rare).alias("often"), F.count("*").alias("held"), F.array_sort(F.collect_list(F.when(F.col("df") <= s.rare, F.struct("df", "token")))).alias("some"))
+    first = F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1
+    own = F.col("n") - F.col("held")
+    listed = listed.withColumns({"first": first, "own": own}).filter("own < first")
+    listed = listed.withColumn("taken", F.slice("some", F.lit(1), F.greatest(F.lit(0), F.col("first") - F.col("own")).cast("int")))
+    complete = F.size("taken") == F.col("first") - F.col("own")
+    edge = F.when(complete, F.element_at("taken", -1)).otherwise(F.struct(F.lit(s.rare).cast("long").alias("df"), F.lit((1 << 63) - 1).alias("token")))
+    return listed.select("node", "n", F.transform("taken", lambda t: t["token"]).alias("prefix"), (F.col("own") + F.size("taken")).alias("passed"), edge.alias("edge"), "often", complete.alias("complete"))
+
+
+def rare_pairs(prefixes: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix shingle and may reach the threshold. prefixes: with component."""
+    one = prefixes.select(F.explode("prefix").alias("token"), F.struct("node", "component", "n", "passed", "edge").alias("x"))
+    two = one.select("token", F.col("x").alias("y"))
+    fits = F.expr(f"x.node > y.node AND x.component <> y.component AND 100 * least(x.n, y.n) >= {s.percent} * greatest(x.n, y.n)")
+    met = one.join(two.hint("merge"), "token").filter(fits)
+    # Shared shingles up to the lower edge are all counted; beyond it there is only what is left of that node.
+    left = F.expr("if(x.edge <= y.edge, x.n - x.passed, y.n - y.passed)")
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), left.alias("left"), F.expr("x.n + y.n").alias("n"))
+    met = materialize(met.groupBy("a", "b", "left", "n").agg(F.count("*").alias("shared")), "rare_pairs")
+    return met.filter(f"{100 + s.percent} * (shared + left) >= {s.percent} * n").select("a", "b")
+
+
+def _row_key(columns: list[Column]) -> list[Column]:
+    return [F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit(1), *columns).alias("r2")]
+
+
+def _classes(rows: DataFrame, s: Settings, null_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """rows: id, r1, r2, text; r1 and r2 tell rows apart that differ at all.
+
+    Returns a print of each row (without the signatures), and for the word
+    sequences of rows that take part: h1, h2, n_rows, component.
+    """
+    prints = materialize(rows.mapInArrow(lambda it: _sketches(it, s), _PRINT), "prints")
+    some = prints.filter("n_shingles > 0" if null_ids else "n_shingles > 0 AND id IS NOT NULL")
+    nodes = some.groupBy("h1", "h2").agg(F.min(F.struct("r1", "r2")).alias("place"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n_rows", "n", "bands", "sig", "place.r1", "place.r2"), "nodes")
+    links = _links(nodes, prints, rows, s)
+    if not null_ids:
+        links = links.unionByName(_shared_ids(some, nodes))
+    found = components(links)
+    labelled = nodes.join(found.hint("merge"), "node", "left").select("h1", "h2", "n_rows", F.coalesce("component", "node").alias("component"))
+    return prints.drop("bands", "sig"), materialize(labelled, "classes")
+
+
+def _shared_ids(some: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the word sequences of rows that share an id."""
+    own = materialize(some.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count("*").alias("n_rows")).filter("lo <> hi").select("id", "n_rows"), "shared_ids")
+    if own.isEmpty():
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    used = materialize(counted_join(some.select("id", "h1", "h2"), own, ["id"], "n_rows").select("id", "h1", "h2").distinct(), "used_ids")
+    named = materialize(used.join(nodes.select("h1", "h2", "node").hint("merge"), ["h1", "h2"]).select("id", "node"), "named")
+    least = materialize(named.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("n")), "least")
+    return counted_join(named, least, ["id"], "n").select(F.col("node").alias("a"), "b")
+
+
 def group_near_duplicates(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns: the id column, n_shingles, component_id, kept. One row for each row of the table.
 
@@ -313,70 +402,96 @@ def group_near_duplicates(df: DataFrame, settings: Settings | None = None, id_co
     """
     s = settings or Settings()
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    prints = materialize(rows.mapInArrow(lambda it: _sketches(it, s), f"id long, {_PRINT}"), "prints")
-    some = prints.filter("id IS NOT NULL AND n_shingles > 0")
-    nodes = some.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = materialize(nodes, "nodes")
-    links = _links(nodes, rows, s)
-    same = nodes.select(F.col("node").alias("a"), "h1", "h2")
-    # Rows with one id and different words hang together through the id.
-    own = some.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("id")
-    shared_id = some.join(own, "id").select(F.col("id").alias("b"), "h1", "h2").join(same, ["h1", "h2"]).select("a", "b")
-    found = components(links.unionByName(shared_id))
-    by_words = same.join(found, F.col("a") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "a").alias("component"))
-    out = prints.select("id", "n_shingles", "h1", "h2").join(by_words, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
-
-
-def _links(nodes: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    rows = rows.select("id", *_row_key([F.col("id"), F.col("text")]), "text")
+    prints, classes = _classes(rows, s, null_ids=False)
+    prints = prints.select("id", "n_shingles", "h1", "h2")
+    linked = F.col("id").isNotNull() & (F.col("n_shingles") > 0)
+    each = materialize(counted_join(prints.filter(linked), classes, ["h1", "h2"], "n_rows").select("id", "n_shingles", "component"), "each")
+    least = materialize(each.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n_rows")), "least")
+    out = counted_join(each, least, ["component"], "n_rows").select("id", "n_shingles", "component_id")
+    alone = prints.filter(~linked).select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).alias("component_id"))
+    return out.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _star(now: DataFrame, info: DataFrame, texts: DataFrame, mask: int, s: Settings) -> DataFrame:
+    """Links of the members of each bucket that holds several components with one centre."""
+    centre = now.groupBy("key").agg(F.min(F.expr(f"node ^ {mask}L")).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    centre = materialize(centre.filter("lo < hi").select("key", F.expr(f"m ^ {mask}L").alias("b"), "members"), "centres")
+    pairs = materialize(counted_join(now.select("key", "node"), centre, ["key"], "members").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    fan = pairs.groupBy("b").agg(F.count("*").alias("members")).join(info.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
+    pairs = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")).hint("merge"), "a")
+    pairs = counted_join(pairs, materialize(fan, "fan"), ["b"], "members").filter(f"100 * least(n_a, n_b) >= {s.percent} * greatest(n_a, n_b)")
+    return _confirm(pairs.filter(estimate("sig_a", "sig_b", s) >= s.cut).select("a", "b"), texts, s)
+
+
+def _links(nodes: DataFrame, prints: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
     entries = nodes.select("node", F.explode("bands").alias("key"))
-    low = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    low = materialize(low, "keys")  # as a table of its own, so that the join can split a frequent key
-    shared = materialize(entries.join(low, "key"), "buckets")
-    met = shared.select("node").distinct()
-    kept = materialize(nodes.join(met, "node", "left_semi").select("node", "h1", "h2", "n", "sig"), "met")
-    texts = kept.select("node", "h1", "h2").join(rows.withColumnRenamed("id", "node"), "node")
-    texts = materialize(texts, "texts")
-    a = kept.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    b = kept.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    keys = materialize(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "keys")
+    shared = materialize(counted_join(entries, keys, ["key"], "members").select("key", "node"), "buckets")
+    info = materialize(nodes.join(shared.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "n", "sig", "r1", "r2"), "met")
+    if not prints.groupBy("r1", "r2").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["r1", "r2"])
+    texts = materialize(rows.select("r1", "r2", "text").join(info.select("r1", "r2", "node").hint("merge"), ["r1", "r2"]).select("node", "text"), "texts")
     links, now = None, shared.withColumn("component", F.col("node"))
     for mask in (0, 0x2545F4914F6CDD1D):
-        centre = now.groupBy("key").agg(F.min(F.expr(f"node ^ {mask}L")).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", F.expr(f"m ^ {mask}L").alias("b"))
-        pairs = now.join(centre, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-        pairs = pairs.join(a, "a").join(b, "b").filter(f"100 * least(n_a, n_b) >= {s.percent} * greatest(n_a, n_b)")
-        found = _confirm(pairs.filter(estimate("sig_a", "sig_b", s) >= s.cut).select("a", "b"), texts, s)
+        found = _star(now, info, texts, mask, s)
         links = found if links is None else links.unionByName(found)
         part = materialize(components(links), "components")
-        now = shared.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / s.block).cast("int").alias("blocks")).filter("lo < hi").select("key", "blocks")
-    members = now.join(open_, "key").select("key", "node", "component", "blocks").join(kept.select("node", "n", "sig"), "node")
-    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "component", "n", "part", "sig")
-    grouped = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        now = materialize(shared.join(part.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "now")
+    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
+    now = materialize(counted_join(now, materialize(open_, "open"), ["key"], "members").select("key", "node", "component"), "now")
+    loose = materialize(now.select("node", "component").distinct().join(info.select("node", "n").hint("merge"), "node"), "loose")
+    tokens = loose.select("node").join(texts.hint("merge"), "node").select("node", "text").mapInArrow(lambda it: _token_batches(it, s), "token long, node long")
+    tokens = materialize(tokens, "tokens").join(loose.select("node", "n").hint("merge"), "node")
+    prefixes = materialize(rare_prefixes(tokens, s).join(loose.select("node", "component").hint("merge"), "node"), "prefixes")
+    links = links.unionByName(_confirm(rare_pairs(prefixes, s), texts, s))
+    close = prefixes.filter("NOT complete").select("node", "often").join(info.select("node", "n", "sig").hint("merge"), "node")
+    return links.unionByName(_across(now, materialize(close, "close"), texts, s))
+
+
+def _across(now: DataFrame, close: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links that join components among the close nodes of each bucket. now: key, node, component; close: node, often, n, sig."""
+    members = materialize(now.join(close.select("node").hint("merge"), "node", "left_semi"), "close_members")
+    shares = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    buckets = shares.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most")).filter("members > most.n")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / s.block)).cast("int")
+    buckets = buckets.select("key", "members", F.col("most.component").alias("largest"), blocks(F.col("members")).alias("parts"), blocks(F.col("members") - F.col("most.n")).alias("apart"))
+    members = counted_join(members, materialize(buckets, "blocks"), ["key"], "members")
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = members.filter("component <> largest").select("key", own("apart").alias("i"), F.explode(numbers("parts")).alias("j"), "node", "component", F.lit(0).alias("side"))
+    right = members.select("key", F.explode(numbers("apart")).alias("i"), own("parts").alias("j"), "node", "component", F.lit(1).alias("side"))
+    grouped = left.unionByName(right).join(close.hint("merge"), "node").select("key", "i", "j", "node", "component", "n", "often", "side", "sig")
+    grouped = grouped.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     near = materialize(grouped.mapInArrow(lambda it: _near_batches(it, s), "key long, i int, j int, node long, component long"), "near")
-    full = near.join(texts, "node").select("key", "i", "j", "node", "component", "h1", "h2", "text")
+    full = near.join(texts.hint("merge"), "node").select("key", "i", "j", "node", "component", "text")
     full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return links.unionByName(materialize(full.mapInArrow(lambda it: _across_batches(it, s), "a long, b long").distinct(), "across"))
+    return materialize(full.mapInArrow(lambda it: _across_batches(it, s), "a long, b long").distinct(), "across")
 
 
 def drop_near_duplicates(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are kept, one of each group, with all their columns. Of rows with one id any one stays.
+    """One row of each group of near duplicates, with all its columns, and every row without words.
 
-    Rows with a null id are grouped by their texts like the others, as ids
-    above all usual ones; those without words all stay.
+    Rows are judged by their texts, not by their ids: rows that share an id,
+    or have none, are apart unless their texts are linked. Of a group the row
+    with the smallest id stays (null ids last), then the one with the least
+    hash of all its columns; of rows alike in every column one stays. An empty
+    table gives no rows; other columns may have any name.
     """
-    key = "near_duplicate_key"
-    stand_in = F.xxhash64(text_of(text_col)).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), stand_in))
-    found = materialize(group_near_duplicates(keyed, settings, key, text_col).select(F.col(key).alias("id"), "n_shingles", "kept"), "kept")
-    kept = found.filter("kept").groupBy("id").agg(F.count("*").alias("count"), F.max("n_shingles").alias("near_duplicate_words"))
-    kept = materialize(kept, "kept_ids")
-    out = keyed.join(kept.select(F.col("id").alias(key)), key, "left_semi")
-    if kept.filter("count > 1").isEmpty():
-        return out.select(*df.columns)
-    many = kept.filter("count > 1").select(F.col("id").alias(key), "near_duplicate_words")
-    among = out.join(many, key)
-    bare = F.col(id_col).cast("long").isNull() & (F.col("near_duplicate_words") == 0)
-    parts = [out.join(many, key, "left_anti"), among.filter(bare), among.filter(~bare).dropDuplicates([key])]
-    return parts[0].select(*df.columns).unionByName(parts[1].select(*df.columns)).unionByName(parts[2].select(*df.columns))
+    s = settings or Settings()
+    # A map has no hash of its own.
+    hashed = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *_row_key(hashed))
+    rows = keyed.select(F.col("row").getField(id_col).cast("long").alias("id"), "r1", "r2", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).alias("text"))
+    prints, classes = _classes(rows, s, null_ids=True)
+    each = counted_join(prints.filter("n_shingles > 0").select("id", "r1", "r2", "h1", "h2"), classes, ["h1", "h2"], "n_rows")
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "r1", "r2")).alias("w")).select("w.r1", "w.r2", F.lit(True).alias("once"))
+    bare = prints.filter("n_shingles = 0").select("r1", "r2", F.lit(False).alias("once")).distinct()
+    counts = prints.groupBy("r1", "r2").agg(F.count("*").alias("n_rows"))
+    kept = materialize(first.unionByName(bare).join(counts.hint("merge"), ["r1", "r2"]), "kept")
+    out = lambda rows: rows.select(*(F.col("row").getField(c).alias(c) for c in df.columns))
+    found = counted_join(keyed, kept, ["r1", "r2"], "n_rows")
+    if kept.filter("once AND n_rows > 1").isEmpty():
+        return out(found)
+    many = found.filter("once AND n_rows > 1").dropDuplicates(["r1", "r2"])
+    return out(found.filter("NOT (once AND n_rows > 1)")).unionByName(out(many))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionloom.llm import decontaminate, langid, minhash, suffix_dedup
+from motionloom.llm import decontaminate, langid, minhash, shared, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -246,6 +246,68 @@ def test_rows_with_null_ids_through_the_stage(spark):
     assert got == {(4, "a"): 1, (None, "b"): 1, (None, "c"): 1, (None, "-"): 2, (None, "!"): 1, (7, "d"): 1}
 
 
+def test_rows_are_judged_by_their_texts(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (2, text("a") + " end"), (3, text("e")), (3, text("e")), (3, text("e") + " end"), (3, None), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "r1": F.lit("x"), "m.y": F.create_map(F.lit("k"), F.col("doc_id"))})
+    got = minhash.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in got.collect())
+    shorter = min(kept - collections.Counter(), key=lambda r: r[0] != 3)  # of id 3's two linked texts one stays
+    assert shorter[0] == 3 and kept.pop((3, text("e")), 0) + kept.pop((3, text("e") + " end"), 0) == 1
+    assert kept == {(1, text("a")): 1, (1, text("b")): 1, (None, text("c")): 1, (None, text("d")): 1, (3, None): 2, (4, ""): 1}
+    again = collections.Counter((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(df.repartition(3, "text")).collect())
+    assert again == collections.Counter((r["doc_id"], r["text"]) for r in got.collect())
+
+
+def templated(n, seed):
+    """Pages of one template, alike at about 0.59; every 500th is a close copy of the one before."""
+    rng = random.Random(seed)
+    head, tail = " ".join(f"t{i}" for i in range(40)), " ".join(f"u{i}" for i in range(38))
+    rows = []
+    for i in range(n):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(25)] if i % 500 else [*rows[-1][1].split()[40:64], "x"] if i else ["first"] * 25
+        rows.append((i, " ".join([head, *own, tail])))
+    return rows
+
+
+def test_pairs_grow_in_proportion(spark, monkeypatch):
+    made = {}
+
+    def counted(df, name):
+        out = shared.materialize(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    steps = {}
+    for n in (4000, 16_000):
+        made.clear()
+        got = {r["doc_id"]: r["component_id"] for r in minhash.group_near_duplicates(spark.createDataFrame(templated(n, 3), "doc_id long, text string")).collect()}
+        assert got == {i: i - 1 if i and i % 500 == 0 else i for i in range(n)}
+        steps[n] = {k: made[k] for k in ("pairs", "likely", "tokens", "rare_pairs", "close_members", "near")}
+    assert sum(steps[4000].values()) > 0
+    for k, v in steps[16_000].items():
+        assert v <= 5 * steps[4000][k] + 100, (k, steps)
+
+
+@pytest.mark.parametrize("rare", [1, 2, 32])
+def test_rare_shingles_lose_no_link(spark, rare):
+    """Around the threshold, with frequent and with rare shared shingles."""
+    rng = random.Random(rare)
+    words = [f"w{i}" for i in range(500)]
+    base = [[rng.choice(words) for _ in range(50)] for _ in range(3)]
+    rows = []
+    for i in range(240):
+        t = list(base[i % 3])
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(50)] = rng.choice(words)
+        rows.append((i, " ".join(t[: rng.randint(44, 50)])))
+    s = minhash.Settings(rare=rare, block=16, fan=8)
+    got = minhash.group_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), s).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, s)
+
+
 def test_estimate_is_unbiased(spark):
     s = minhash.Settings()
     maker, rng = minhash.Sketcher(s), random.Random(3)
