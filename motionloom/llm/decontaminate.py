@@ -12,21 +12,23 @@ length and room for text between its parts, and each passage is a query. Passage
 the threshold are done; so are blocks whose block maxima can't. In the blocks
 that remain the cursors of the lists go item by item, skipping to the pivot.
 All items at or above the threshold are retrieved, and a retrieved item counts
-if its question and answer are verified by their word shingles.
+if both its question and its answer are verified by their word shingles.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of, utf8_chunks
+from .shared import materialize, text_of, utf8_chunks
 
 _WORD = re.compile(r"\w+")
 _RESULT = "n_passages long, n_retrieved long, contaminated boolean, item_ids array<long>, best_overlap double"
@@ -41,22 +43,30 @@ class Settings:
     #: Items in a block of the index.
     block: int = 4
     shingle: int = 5
-    #: Least share of an item's shingles in the passage.
+    #: Least share of a question's or an answer's shingles in the passage.
     overlap: float = 0.8
-    #: A question alone is enough from so many words on.
-    question_words: int = 13
     #: Words between question and answer that fit a passage wherever it begins.
     between: int = 32
-    #: Items and bytes of one index; a larger benchmark is done in parts.
+    #: Items and bytes of one index, which the README gives the measured memory of; a larger benchmark is done in parts.
     index_items: int = 20_000
     index_bytes: int = 8_000_000
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of a whole benchmark: items with words, their mean and greatest number of words, and the items that have a term."""
+
+    n: int
+    mean: float
+    longest: int
+    frequency: dict[str, int]
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
+def shingles(words, n: int) -> set[tuple]:
     if not words:
         return set()
     return {tuple(words)} if len(words) < n else set(zip(*(words[i:] for i in range(n)), strict=False))
@@ -68,49 +78,58 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (text[: ends[-1]], text[ends[-1] :]) if ends else (text, "")
 
 
+def statistics(texts: list[str]) -> Statistics:
+    frequency: dict[str, int] = {}
+    lengths = []
+    for words in map(words_of, texts):
+        for w in set(words):
+            frequency[w] = frequency.get(w, 0) + 1
+        if words:
+            lengths.append(len(words))
+    return Statistics(len(lengths), sum(lengths) / len(lengths) if lengths else 1.0, max(lengths, default=0), frequency)
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], s: Settings):
+    """An index of items (number, text); ``whole`` are the statistics of the benchmark that they are a part of."""
+
+    def __init__(self, items: list[tuple[int, str]], s: Settings, whole: Statistics | None = None):
         self.s = s
-        self.items = sorted((i, t) for i, t in items if t is not None and words_of(t))
-        self.words = [words_of(t) for _, t in self.items]
-        parts = [question_and_answer(t) for _, t in self.items]
-        self.whole = [shingles(w, s.shingle) for w in self.words]
-        self.question = [shingles(words_of(q), s.shingle) for q, _ in parts]
-        self.answer = [shingles(words_of(a), s.shingle) for _, a in parts]
-        self.asked = [len(words_of(q)) for q, _ in parts]
-        self.longest = max(map(len, self.words), default=0)
+        items = sorted((i, t) for i, t in items if t is not None and words_of(t))
+        whole = whole or statistics([t for _, t in items])
+        self.names = [i for i, _ in items]
         #: Words from one passage to the next; a passage has two such steps.
-        self.step = max(1, self.longest + s.between)
-        n = len(self.items)
-        mean = sum(map(len, self.words)) / n if n else 1.0
+        self.step = max(1, whole.longest + s.between)
+        n = len(items)
         self.term: dict[str, int] = {}
-        lists: list[list[tuple[int, int]]] = []
-        for i, words in enumerate(self.words):
-            count: dict[str, int] = {}
-            for w in words:
+        number = lambda text: array("i", [self.term.setdefault(w, len(self.term)) for w in words_of(text)])
+        #: Terms of each item's question and answer.
+        self.parts = [tuple(map(number, question_and_answer(t))) for _, t in items]
+        lists: list[list[tuple[int, int]]] = [[] for _ in self.term]
+        sizes = []
+        for i, (question, answer) in enumerate(self.parts):
+            count: dict[int, int] = {}
+            for w in (*question, *answer):
                 count[w] = count.get(w, 0) + 1
             for w, tf in count.items():
-                t = self.term.setdefault(w, len(self.term))
-                if t == len(lists):
-                    lists.append([])
-                lists[t].append((i, tf))
-        own = [0.0] * n
-        impacts = []
-        for postings in lists:
-            idf = np.log(1 + (n - len(postings) + 0.5) / (len(postings) + 0.5))
-            row = [idf * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(self.words[i]) / mean)) for i, tf in postings]
+                lists[w].append((i, tf))
+            sizes.append(len(question) + len(answer))
+        own, impacts = [0.0] * n, []
+        for w, postings in zip(self.term, lists, strict=True):
+            df = whole.frequency[w]
+            idf = np.log(1 + (whole.n - df + 0.5) / (df + 0.5))
+            row = [idf * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * sizes[i] / whole.mean)) for i, tf in postings]
             for (i, _), x in zip(postings, row, strict=True):
                 own[i] += x
             impacts.append(row)
-        #: Postings by term: item numbers and impacts.
-        self.at = [[i for i, _ in postings] for postings in lists]
-        weight: list[dict[str, float]] = [{} for _ in range(n)]
-        for w, t in self.term.items():
-            for (i, _), x in zip(lists[t], impacts[t], strict=True):
+        weight: list[dict[int, float]] = [{} for _ in range(n)]
+        for w, (postings, row) in enumerate(zip(lists, impacts, strict=True)):
+            for (i, _), x in zip(postings, row, strict=True):
                 weight[i][w] = x / own[i]
         #: What an item's impacts are raised by, so that whatever can be verified reaches the threshold.
         self.raised = [max(1.0, s.threshold / self._least(i, weight[i])) for i in range(n)]
-        self.impact = [[x / own[i] * self.raised[i] for (i, _), x in zip(postings, row, strict=True)] for postings, row in zip(lists, impacts, strict=True)]
+        #: Postings by term: item numbers and impacts.
+        self.at = [array("i", [i for i, _ in postings]) for postings in lists]
+        self.impact = [array("d", [x / own[i] * self.raised[i] for (i, _), x in zip(postings, row, strict=True)]) for postings, row in zip(lists, impacts, strict=True)]
         self.top = np.array([max(x) for x in self.impact])
         self.blocks = max(1, -(-n // s.block))
         entries = []
@@ -123,31 +142,22 @@ class Index:
         self.entry_block = np.array([b for _, b, _ in entries], np.int64)
         self.entry_most = np.array([x for *_, x in entries])
 
-    def _least(self, item: int, weight: dict[str, float]) -> float:
+    def _least(self, item: int, weight: dict[int, float]) -> float:
         """A lower bound of the score of any passage in which the item is verified.
 
         A word is away only if all shingles with it are, so the lost shingles'
         shares of their words' weights are at least the weight of the words lost.
         """
-
-        def kept(*parts: set[tuple[str, ...]]) -> float:
-            total = sum(weight[w] for w in {w for part in parts for sh in part for w in sh})
-            for part in parts:
-                held: dict[str, int] = {}
-                for sh in part:
-                    for w in set(sh):
-                        held[w] = held.get(w, 0) + 1
-                lost = len(part) - int(np.ceil(self.s.overlap * len(part) - 1e-9))
-                total -= sum(sorted((sum(weight[w] / held[w] for w in set(sh)) for sh in part), reverse=True)[:lost])
-            return total
-
-        question, answer = self.question[item], self.answer[item]
-        bounds = [kept(self.whole[item])]
-        if question and self.asked[item] >= self.s.question_words:
-            bounds.append(kept(question))
-        elif question and answer:
-            bounds.append(kept(question, answer))
-        return max(min(bounds), 1e-6)
+        parts = [shingles(p, self.s.shingle) for p in self.parts[item]]
+        total = sum(weight[w] for w in {w for part in parts for sh in part for w in sh})
+        for part in parts:
+            held: dict[int, int] = {}
+            for sh in part:
+                for w in set(sh):
+                    held[w] = held.get(w, 0) + 1
+            lost = len(part) - int(np.ceil(self.s.overlap * len(part) - 1e-9))
+            total -= sum(sorted((sum(weight[w] / held[w] for w in set(sh)) for sh in part), reverse=True)[:lost])
+        return max(total, 1e-6)
 
     def in_block(self, terms: list[int], block: int) -> list[tuple[int, float]]:
         """Document-at-a-time WAND over one block: the items that reach the threshold."""
@@ -216,28 +226,22 @@ class Index:
             out += [(int(passage[a]), i) for i, _ in self.in_block(terms, block)]
         return out
 
-    def verify(self, words: list[str], item: int) -> float | None:
-        """The item's overlap with the passage if question and answer are verified, else None."""
-        seen: dict[int, set[tuple[str, ...]]] = {}
-
-        def share(part: set[tuple[str, ...]]) -> float:
-            if not part:
-                return 1.0
-            k = len(next(iter(part)))  # a part with fewer words than a shingle is one shingle
+    def verify(self, ids: list[int], item: int) -> float | None:
+        """The share of the item's shingles in a passage of terms if its question and its answer are both verified, else None."""
+        seen: dict[int, set[tuple]] = {}
+        there = every = 0
+        for part in self.parts[item]:
+            wanted = shingles(part, self.s.shingle)
+            if not wanted:
+                continue
+            k = len(next(iter(wanted)))  # a part with fewer words than a shingle is one shingle
             if k not in seen:
-                seen[k] = shingles(words, k)
-            return len(part & seen[k]) / len(part)
-
-        whole = share(self.whole[item])
-        if whole >= self.s.overlap:
-            return whole
-        question, answer = self.question[item], self.answer[item]
-        if question and share(question) >= self.s.overlap:
-            if self.asked[item] >= self.s.question_words:
-                return whole
-            if answer and len(self.words[item]) >= self.s.shingle and share(answer) >= self.s.overlap:
-                return whole
-        return None
+                seen[k] = shingles(ids, k)
+            both = len(wanted & seen[k])
+            if both < self.s.overlap * len(wanted) - 1e-9:
+                return None
+            there, every = there + both, every + len(wanted)
+        return there / every
 
 
 def _search(batches, index: Index):
@@ -245,99 +249,129 @@ def _search(batches, index: Index):
     for batch in batches:
         for a, b in utf8_chunks(batch.column(1)):
             texts = [words_of(t) for t in batch.column(1)[a:b].to_pylist()]
-            count = [max(1, -(-len(w) // step)) for w in texts]  # the last window may be short
+            size = np.array([len(w) for w in texts])
+            count = np.maximum(1, -(-size // step))  # the last window may be short
             base = np.concatenate([[0], np.cumsum(count)])
+            begin = np.concatenate([[0], np.cumsum(size)])
             found: list[dict[int, float]] = [{} for _ in texts]
             retrieved: list[set[int]] = [set() for _ in texts]
-            if index.items:
-                ids = np.fromiter((index.term.get(w, -1) for words in texts for w in words), np.int64, sum(map(len, texts)))
-                place = np.concatenate([base[d] + np.arange(len(w)) // step for d, w in enumerate(texts)]) if texts else np.empty(0, np.int64)
+            if index.names:
+                ids = np.fromiter((index.term.get(w, -1) for words in texts for w in words), np.int64, begin[-1])
+                place = np.concatenate([base[d] + np.arange(n) // step for d, n in enumerate(size)]) if texts else np.empty(0, np.int64)
                 # A window is this step and the next one, so a word is in its own step's window and the one before.
-                again = np.concatenate([np.arange(len(w)) // step > 0 for w in texts])
+                again = np.concatenate([np.arange(n) // step > 0 for n in size])
                 pairs = index.candidates(np.concatenate([ids, ids[again]]), np.concatenate([place, place[again] - 1]))
                 for passage, item in pairs:
                     d = int(np.searchsorted(base, passage, side="right")) - 1
                     retrieved[d].add(item)
-                    k = passage - int(base[d])
-                    share = index.verify(texts[d][k * step : (k + 2) * step], item)
+                    first = begin[d] + (passage - base[d]) * step
+                    share = index.verify(ids[first : min(first + 2 * step, begin[d + 1])].tolist(), item)
                     if share is not None:
                         found[d][item] = max(found[d].get(item, 0.0), share)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[a:b],
-                    pa.array([c if w else 0 for c, w in zip(count, texts, strict=True)], pa.int64()),
+                    pa.array(np.where(size > 0, count, 0), pa.int64()),
                     pa.array([len(r) for r in retrieved], pa.int64()),
                     pa.array([bool(f) for f in found]),
-                    pa.array([sorted(index.items[i][0] for i in f) for f in found], pa.list_(pa.int64())),
+                    pa.array([sorted(index.names[i] for i in f) for f in found], pa.list_(pa.int64())),
                     pa.array([max(f.values(), default=0.0) for f in found], pa.float64()),
                 ],
                 names=["id", "n_passages", "n_retrieved", "contaminated", "item_ids", "best_overlap"],
             )
 
 
-def indexes(benchmark: DataFrame, s: Settings, item_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """The index, in as many parts as its bounds ask for; each part holds whole items."""
+def _term_batches(batches):
+    """Rows (part, text) as (part, term, words): one for each different word of an item; words: the item's length, in its first row only."""
+    for batch in batches:
+        for part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = words_of(text)
+            terms = sorted(set(words))
+            sizes = [len(words)] + [None] * (len(terms) - 1) if terms else []
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(terms), pa.int32()), pa.array(terms, pa.string()), pa.array(sizes, pa.int64())], names=["part", "term", "words"])
+
+
+def indexes(benchmark: DataFrame, s: Settings, item_col: str = "item_id", text_col: str = "text"):
+    """Yields the index, in as many parts as its bounds ask for, one after the other; each part holds whole items.
+
+    All parts score by the statistics of the whole benchmark, of which the
+    driver holds those of one part's terms at a time.
+    """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, -(-n // s.index_items), -(-size // s.index_bytes))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    return [Index([tuple(r) for r in items.filter(part == k).collect()], s) for k in range(parts)]
+    if parts == 1:
+        yield Index([tuple(r) for r in items.collect()], s)
+        return
+    items = materialize(items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int")), "items")
+    terms = materialize(items.select("part", "text").mapInArrow(_term_batches, "part int, term string, words long"), "terms")
+    total, words, longest = terms.agg(F.count("words"), F.sum("words"), F.max("words")).first()
+    counts = materialize(terms.groupBy("term").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts")), "term_counts")
+    for k in range(parts):
+        frequency = {r["term"]: r["n"] for r in counts.filter(F.array_contains("parts", k)).select("term", "n").toLocalIterator()}
+        yield Index([tuple(r) for r in items.filter(F.col("part") == k).select("item", "text").collect()], s, Statistics(total, words / total if total else 1.0, longest or 0, frequency))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Columns: the id column, n_passages, n_retrieved, contaminated, item_ids, best_overlap. One row for each row.
 
-    An item is verified in a passage if the share of its distinct five-word
-    shingles there is at least ``overlap``, or if that of its question (all
-    but the last sentence) is and the question has ``question_words`` or more,
-    or if those of question and answer (the last sentence) both are, whatever
-    stands between. Up to ``between`` words there fit a passage in any place.
-    A part with fewer words than a shingle must be there as a whole.
-    Defined results: a null or empty text has no passages and is clean; an
-    empty benchmark leaves all clean; whatever a passage verifies is retrieved; items without words are never found;
-    items with fewer words than a shingle must be there as a whole; repeated
-    rows give repeated results; null ids stay null. Only the named columns are
-    read.
+    An item is verified in a passage if of its question's (all but the last
+    sentence) distinct five-word shingles at least ``overlap`` are there, and
+    of its answer's (the last sentence) too, whatever stands between. Up to
+    ``between`` words there fit a passage in any place. A part with fewer
+    words than a shingle must be there as a whole; an item of one sentence is
+    all question. best_overlap: the greatest share of a verified item's
+    shingles. Defined results: a null or empty text has no passages and is
+    clean; an empty benchmark leaves all clean; whatever a passage verifies is
+    retrieved; items without words are never found; repeated rows give
+    repeated results; null ids stay null. Only the named columns are read.
 
     Documents aren't shuffled. A benchmark beyond the index bounds is searched
-    part by part, and the parts' results are summed by id and text.
+    part by part, with the same scores and results: the parts' results are
+    written, and summed by id and text.
     """
     s = settings or Settings()
-    kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
-    def searched(index: Index) -> DataFrame:
-        return rows.mapInArrow(lambda it: _search(it, index), f"id {kind}, {_RESULT}")
-
-    found = indexes(benchmark, s, item_col, item_text_col)
-    out = searched(found[0])
-    if len(found) > 1:
-        keyed = rows.withColumn("key", F.xxhash64("text"))
-
-        def part(index: Index) -> DataFrame:
-            packed = keyed.select(F.struct("id", "key").alias("id"), "text")
-            kinds = packed.schema["id"].dataType.simpleString()
-            return packed.mapInArrow(lambda it: _search(it, index), f"id {kinds}, {_RESULT}")
-
-        every = part(found[0]).withColumn("part", F.lit(0))
-        for k, index in enumerate(found[1:], 1):
-            every = every.unionByName(part(index).withColumn("part", F.lit(k)))
-        summed = every.groupBy("id").agg(
-            F.max("n_passages").alias("n_passages"), F.sum("n_retrieved").alias("n_retrieved"), F.max("contaminated").alias("contaminated"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("best_overlap").alias("best_overlap"),
-            F.count_if(F.col("part") == 0).alias("copies"),
-        )
-        out = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("id.id", *(x.split(" ")[0] for x in _RESULT.split(", ")))
-    return out.withColumnRenamed("id", id_col)
+    def searched(rows: DataFrame, index: Index) -> DataFrame:
+        return rows.mapInArrow(lambda it: _search(it, index), f"id {rows.schema['id'].dataType.simpleString()}, {_RESULT}")
+
+    parts = indexes(benchmark, s, item_col, item_text_col)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return searched(rows, first).withColumnRenamed("id", id_col)
+    keyed = rows.select(F.struct("id", F.xxhash64("text").alias("key")).alias("id"), "text")
+    every = materialize(searched(keyed, first).withColumn("first", F.lit(1)), "leaks")
+    while second is not None:
+        every = every.unionByName(materialize(searched(keyed, second).withColumn("first", F.lit(0)), "leaks"))
+        second = next(parts, None)
+    summed = every.groupBy("id").agg(
+        F.max("n_passages").alias("n_passages"), F.sum(F.col("n_retrieved")).alias("n_retrieved"), F.max("contaminated").alias("contaminated"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.max("best_overlap").alias("best_overlap"), F.sum("first").alias("copies"),
+    )
+    each = (F.col("n_retrieved") / F.col("copies")).cast("long").alias("n_retrieved")
+    out = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(F.col("id.id").alias(id_col), "n_passages", each, "contaminated", "item_ids", "best_overlap")
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, settings: Settings | None = None, text_col: str = "text") -> DataFrame:
-    """The rows without a verified item, with all their columns; the verdict is reached within the row's own batch."""
-    found = indexes(benchmark, settings or Settings())
-    clean = F.lit(True)
-    for index in found:
-        clean = clean & ~_leak_udf(index)(text_of(text_col))
-    return df.filter(clean)
+    """The rows without a verified item, with all their columns.
+
+    With one index the verdict is reached within the row's own batch. Of a
+    benchmark in parts, each part's leaking texts are written by their hash,
+    and their rows are left out by a join.
+    """
+    parts = indexes(benchmark, settings or Settings())
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return df.filter(~_leak_udf(first)(text_of(f"`{text_col}`")))
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.xxhash64(text_of(f"`{text_col}`")).alias("k1"), F.xxhash64(F.lit(1), text_of(f"`{text_col}`")).alias("k2"))
+    text, found, index = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")), [], first
+    while index is not None:
+        found.append(materialize(keyed.filter(_leak_udf(index)(text)).select("k1", "k2").distinct(), "leaks"))
+        index, second = second, next(parts, None)
+    leaks = reduce(DataFrame.unionByName, found).distinct()
+    return keyed.join(leaks.hint("merge"), ["k1", "k2"], "left_anti").select(*(F.col("row").getField(c).alias(c) for c in df.columns))
 
 
 def _leak_udf(index: Index):
