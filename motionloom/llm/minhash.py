@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import counted_join, materialize, text_of, utf8_chunks
+from .shared import counted_join, discard, materialize, text_of, utf8_chunks
 
 BITS = 2
 _PRINT = "id long, r1 long, r2 long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>"
@@ -167,10 +167,10 @@ def estimate(a: str, b: str, s: Settings) -> Column:
     return (1 - F.expr(differ) / s.hashes - chance) / (1 - chance)
 
 
-def _with_minimum(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with the minimum m of a's neighbours. Nodes with a large share of the edges are joined apart."""
+def _with_minimum(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) with the minimum m of a's neighbours, and the table of minima. Nodes with a large share of the edges are joined apart."""
     low = materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")), "low")
-    return counted_join(edges, low, ["a"], "degree")
+    return counted_join(edges, low, ["a"], "degree"), low
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,11 +183,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_minimum(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        known, low = _with_minimum(both)
+        large = known.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = materialize(large.filter("a <> b").distinct(), "large")
+        discard(low, edges)
         # A node already in a star keeps its edge to the minimum; its other neighbours get that minimum.
-        small = _with_minimum(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        known, low = _with_minimum(large)
+        small = known.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = materialize(small.filter("a <> b").distinct(), "edges")
+        discard(low, large)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             break
@@ -225,7 +229,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     own = fan.select(F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("node"))
     rows = salted.unionByName(own).join(texts.hint("merge"), "node").select("centre", "salt", "kind", "node", "text")
     rows = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind")
-    return materialize(rows.mapInArrow(lambda it: _confirm_batches(it, s), "a long, b long"), "links")
+    links = materialize(rows.mapInArrow(lambda it: _confirm_batches(it, s), "a long, b long"), "links")
+    discard(pairs, fan)
+    return links
 
 
 def _groups(batches, widths: int):
@@ -311,17 +317,17 @@ def _across_batches(batches, s: Settings):
 
 
 def _token_batches(batches, s: Settings):
-    """Rows (node, text) as (token, node): a hash of each distinct shingle."""
+    """Rows (node, text, n) as (token, node, n): a hash of each distinct shingle."""
     maker = Sketcher(s)
     for batch in batches:
         for a, b in utf8_chunks(batch.column(1), 1 << 18):
             sets = [maker.hashes(words_of(t)) for t in batch.column(1)[a:b].to_pylist()]
-            nodes = np.repeat(batch.column(0)[a:b].to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(nodes)], names=["token", "node"])
+            sizes = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *(pa.array(np.repeat(batch.column(k)[a:b].to_numpy(), sizes)) for k in (0, 2))], names=["token", "node", "n"])
 
 
-def rare_prefixes(tokens: DataFrame, s: Settings) -> DataFrame:
-    """From rows (token, node, n): node, n, prefix array<long>, passed, edge, often.
+def rare_prefixes(tokens: DataFrame, counts: DataFrame, s: Settings) -> DataFrame:
+    """From rows (token, node, n) and counts (token, df) above one: node, n, prefix array<long>, passed, edge, often, complete.
 
     A node's shingles stand in one global order, the rarest first. The prefix
     are those among its first n - need + 1 that two to ``rare`` nodes have;
@@ -331,7 +337,6 @@ def rare_prefixes(tokens: DataFrame, s: Settings) -> DataFrame:
     need + 1 shingles are all its own can't have a partner and is left out;
     complete tells that all partners share a shingle of the prefix.
     """
-    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "frequency")
     met = counted_join(tokens, counts, ["token"], "df")
     listed = met.groupBy("node", "n").agg(F.count_if(F.col("df") > s.rare).alias("often"), F.count("*").alias("held"), F.array_sort(F.collect_list(F.when(F.col("df") <= s.rare, F.struct("df", "token")))).alias("some"))
     first = F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1
@@ -344,7 +349,7 @@ def rare_prefixes(tokens: DataFrame, s: Settings) -> DataFrame:
 
 
 def rare_pairs(prefixes: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix shingle and may reach the threshold. prefixes: with component."""
+    """Pairs (a, b) of different components that share a prefix shingle, and whether they may reach the threshold. prefixes: with component."""
     one = prefixes.select(F.explode("prefix").alias("token"), F.struct("node", "component", "n", "passed", "edge").alias("x"))
     two = one.select("token", F.col("x").alias("y"))
     fits = F.expr(f"x.node > y.node AND x.component <> y.component AND 100 * least(x.n, y.n) >= {s.percent} * greatest(x.n, y.n)")
@@ -352,8 +357,8 @@ def rare_pairs(prefixes: DataFrame, s: Settings) -> DataFrame:
     # Shared shingles up to the lower edge are all counted; beyond it there is only what is left of that node.
     left = F.expr("if(x.edge <= y.edge, x.n - x.passed, y.n - y.passed)")
     met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), left.alias("left"), F.expr("x.n + y.n").alias("n"))
-    met = materialize(met.groupBy("a", "b", "left", "n").agg(F.count("*").alias("shared")), "rare_pairs")
-    return met.filter(f"{100 + s.percent} * (shared + left) >= {s.percent} * n").select("a", "b")
+    met = met.groupBy("a", "b", "left", "n").agg(F.count("*").alias("shared"))
+    return met.select("a", "b", F.expr(f"{100 + s.percent} * (shared + left) >= {s.percent} * n").alias("likely"))
 
 
 def _row_key(columns: list[Column]) -> list[Column]:
@@ -419,12 +424,16 @@ def _star(now: DataFrame, info: DataFrame, texts: DataFrame, mask: int, s: Setti
     centre = materialize(centre.filter("lo < hi").select("key", F.expr(f"m ^ {mask}L").alias("b"), "members"), "centres")
     pairs = materialize(counted_join(now.select("key", "node"), centre, ["key"], "members").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
     fan = pairs.groupBy("b").agg(F.count("*").alias("members")).join(info.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
-    pairs = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")).hint("merge"), "a")
-    pairs = counted_join(pairs, materialize(fan, "fan"), ["b"], "members").filter(f"100 * least(n_a, n_b) >= {s.percent} * greatest(n_a, n_b)")
-    return _confirm(pairs.filter(estimate("sig_a", "sig_b", s) >= s.cut).select("a", "b"), texts, s)
+    fan = materialize(fan, "fan")
+    close = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")).hint("merge"), "a")
+    close = counted_join(close, fan, ["b"], "members").filter(f"100 * least(n_a, n_b) >= {s.percent} * greatest(n_a, n_b)")
+    links = _confirm(close.filter(estimate("sig_a", "sig_b", s) >= s.cut).select("a", "b"), texts, s)
+    discard(centre, pairs, fan)
+    return links
 
 
 def _links(nodes: DataFrame, prints: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """Edges (a, b) of nodes that join all that hang together."""
     entries = nodes.select("node", F.explode("bands").alias("key"))
     keys = materialize(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "keys")
     shared = materialize(counted_join(entries, keys, ["key"], "members").select("key", "node"), "buckets")
@@ -432,21 +441,28 @@ def _links(nodes: DataFrame, prints: DataFrame, rows: DataFrame, s: Settings) ->
     if not prints.groupBy("r1", "r2").count().filter("count > 1").isEmpty():
         rows = rows.dropDuplicates(["r1", "r2"])
     texts = materialize(rows.select("r1", "r2", "text").join(info.select("r1", "r2", "node").hint("merge"), ["r1", "r2"]).select("node", "text"), "texts")
-    links, now = None, shared.withColumn("component", F.col("node"))
+    links = None
     for mask in (0, 0x2545F4914F6CDD1D):
+        now = shared.withColumn("component", F.col("node")) if links is None else now
         found = _star(now, info, texts, mask, s)
-        links = found if links is None else links.unionByName(found)
-        part = materialize(components(links), "components")
+        # Of the links so far a star of each component is enough.
+        part = materialize(components(found if links is None else links.unionByName(found)), "components")
+        links = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
         now = materialize(shared.join(part.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "now")
     open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi").select("key", "members")
     now = materialize(counted_join(now, materialize(open_, "open"), ["key"], "members").select("key", "node", "component"), "now")
     loose = materialize(now.select("node", "component").distinct().join(info.select("node", "n").hint("merge"), "node"), "loose")
-    tokens = loose.select("node").join(texts.hint("merge"), "node").select("node", "text").mapInArrow(lambda it: _token_batches(it, s), "token long, node long")
-    tokens = materialize(tokens, "tokens").join(loose.select("node", "n").hint("merge"), "node")
-    prefixes = materialize(rare_prefixes(tokens, s).join(loose.select("node", "component").hint("merge"), "node"), "prefixes")
-    links = links.unionByName(_confirm(rare_pairs(prefixes, s), texts, s))
+    tokens = loose.select("node", "n").join(texts.hint("merge"), "node").select("node", "text", "n")
+    tokens = materialize(tokens.mapInArrow(lambda it: _token_batches(it, s), "token long, node long, n long"), "tokens")
+    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "frequency")
+    prefixes = materialize(rare_prefixes(tokens, counts, s).join(loose.select("node", "component").hint("merge"), "node"), "prefixes")
+    discard(tokens, counts, keys, shared)
+    met = materialize(rare_pairs(prefixes, s), "rare_pairs")
+    by_rare = _confirm(met.filter("likely").select("a", "b"), texts, s)
     close = prefixes.filter("NOT complete").select("node", "often").join(info.select("node", "n", "sig").hint("merge"), "node")
-    return links.unionByName(_across(now, materialize(close, "close"), texts, s))
+    by_size = _across(now, materialize(close, "close"), texts, s)
+    discard(prefixes, met, info, texts, loose, now)
+    return links.unionByName(by_rare).unionByName(by_size)
 
 
 def _across(now: DataFrame, close: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -456,17 +472,19 @@ def _across(now: DataFrame, close: DataFrame, texts: DataFrame, s: Settings) ->
     buckets = shares.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most")).filter("members > most.n")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / s.block)).cast("int")
     buckets = buckets.select("key", "members", F.col("most.component").alias("largest"), blocks(F.col("members")).alias("parts"), blocks(F.col("members") - F.col("most.n")).alias("apart"))
-    members = counted_join(members, materialize(buckets, "blocks"), ["key"], "members")
+    cells = counted_join(members, materialize(buckets, "blocks"), ["key"], "members")
     numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    left = members.filter("component <> largest").select("key", own("apart").alias("i"), F.explode(numbers("parts")).alias("j"), "node", "component", F.lit(0).alias("side"))
-    right = members.select("key", F.explode(numbers("apart")).alias("i"), own("parts").alias("j"), "node", "component", F.lit(1).alias("side"))
+    left = cells.filter("component <> largest").select("key", own("apart").alias("i"), F.explode(numbers("parts")).alias("j"), "node", "component", F.lit(0).alias("side"))
+    right = cells.select("key", F.explode(numbers("apart")).alias("i"), own("parts").alias("j"), "node", "component", F.lit(1).alias("side"))
     grouped = left.unionByName(right).join(close.hint("merge"), "node").select("key", "i", "j", "node", "component", "n", "often", "side", "sig")
     grouped = grouped.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     near = materialize(grouped.mapInArrow(lambda it: _near_batches(it, s), "key long, i int, j int, node long, component long"), "near")
     full = near.join(texts.hint("merge"), "node").select("key", "i", "j", "node", "component", "text")
     full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return materialize(full.mapInArrow(lambda it: _across_batches(it, s), "a long, b long").distinct(), "across")
+    links = materialize(full.mapInArrow(lambda it: _across_batches(it, s), "a long, b long").distinct(), "across")
+    discard(members, close, near)
+    return links
 
 
 def drop_near_duplicates(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,8 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/motionloom/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/motionloom/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,7 +49,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned, when whatever was made of them has been written.
+
+    Only tables that are no part of a returned DataFrame may go. A lost
+    executor doesn't bring them back into use: what is left reads later tables.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything that this application's operators have written to the shared folder.
+
+    DataFrames that the operators returned can't be read afterwards, so call it
+    when their results are saved.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def counted_join(big: DataFrame, side: DataFrame, keys: list[str], count: str, share: int = 1 << 13) -> DataFrame:
@@ -57,11 +85,11 @@ def counted_join(big: DataFrame, side: DataFrame, keys: list[str], count: str, s
     Both tables are read twice; pass written ones. Without frequent keys it is
     a merge join.
     """
-    total = side.agg(F.coalesce(F.sum(F.col(count).cast("double")), F.lit(0.0))).first()[0]
+    total, most = side.agg(F.coalesce(F.sum(F.col(count).cast("double")), F.lit(0.0)), F.coalesce(F.max(count), F.lit(0))).first()
+    if most * share <= total:
+        return big.join(side.hint("merge"), keys)
     often = F.col(count) * share > total
     heavy = side.filter(often)
-    if heavy.isEmpty():
-        return big.join(side.hint("merge"), keys)
     rest = big.join(F.broadcast(heavy.select(*keys).distinct()), keys, "left_anti")
     return big.join(F.broadcast(heavy), keys).unionByName(rest.join(side.filter(~often).hint("merge"), keys))
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import counted_join, materialize, text_of, utf8_chunks
+from .shared import counted_join, discard, materialize, text_of, utf8_chunks
 
 GRAM = 32
 #: Stands for a null id inside.
@@ -397,7 +397,9 @@ def find_repeats(df: DataFrame, settings: Settings | None = None, id_col: str =
     rows = _source(df, id_col, text_col)
     marks = materialize(rows.select("id", "text_hash", "text").mapInArrow(lambda it: _anchor_batches(it, s), _ANCHOR), "anchors")
     shared = marks.groupBy("gram").agg(F.count("*").alias("rows"), F.sum("copies").alias("n")).filter("n > 1").select("gram", "rows")
-    found = materialize(counted_join(marks, materialize(shared, "grams"), ["gram"], "rows").drop("rows"), "candidates")
+    shared = materialize(shared, "grams")
+    found = materialize(counted_join(marks, shared, ["gram"], "rows").drop("rows"), "candidates")
+    discard(marks, shared)
     # One place of each different snippet; how often it occurs.
     place = F.struct("id", "text_hash", "first", "last", "at")
     kinds = found.groupBy("gram", "snippet").agg(F.sum("copies").alias("n"), F.min(place).alias("place"))
@@ -408,13 +410,17 @@ def find_repeats(df: DataFrame, settings: Settings | None = None, id_col: str =
     texts = materialize(texts, "texts")
     cut = texts.join(wanted, ["id", "text_hash"]).select("text", "wanted")
     cut = materialize(cut.mapInArrow(lambda it: _snippet_batches(it, s), _CUT), "cut")
-    windows = find_windows(cut, s).withColumnRenamed("n", "weight")
-    every = counted_join(found.select("gram", "snippet", "id", "text_hash", "first", "end", "copies"), windows, ["gram", "snippet"], "weight")
+    windows = find_windows(cut, s)
+    discard(cut)
+    named = windows.withColumnRenamed("n", "weight")
+    every = counted_join(found.select("gram", "snippet", "id", "text_hash", "first", "end", "copies"), named, ["gram", "snippet"], "weight")
     own = F.expr("transform(windows, w -> named_struct('first', w.first + first, 'last', w.last + first))")
     every = every.select("id", "text_hash", F.when(F.col("copies") > 1, F.array(F.struct("first", F.col("end").alias("last")))).otherwise(own).alias("windows"))
     # As a set: rows alike in id and text bring the same intervals.
     out = every.groupBy("id", "text_hash").agg(F.flatten(F.collect_set("windows")).alias("windows"))
-    return materialize(out, "repeats"), texts
+    out = materialize(out, "repeats")
+    discard(found, windows)
+    return out, texts
 
 
 def spans_of(windows: list[dict], length: int) -> list[tuple[int, int]]:

@@ -3,6 +3,7 @@ import collections
 import hashlib
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -352,32 +353,67 @@ def leak_docs():
     return docs + [(3, docs[3][1])]
 
 
-def expected(docs, s):
-    index = decontaminate.Index(ITEMS, s)
+def plain_share(words, part, n=5):
+    """Share of a part's distinct n-word sequences among the words'; a shorter part is one sequence."""
+    n = min(n, len(part))
+    wanted = {" ".join(part[i : i + n]) for i in range(len(part) - n + 1)}
+    return sum(any(words[i : i + n] == w.split(" ") for i in range(len(words) - n + 1)) for w in wanted) / len(wanted)
+
+
+def expected(docs, items, between=32):
+    """Without any code of the operator: all passages against all items."""
+    split = lambda t: re.findall(r"\w+", t.lower())
+    parts = {}
+    for i, t in items:
+        if t and split(t):
+            ends = [m.end() for m in re.finditer(r"[.!?]+\s+", t.rstrip())]
+            parts[i] = [p for p in ([split(t[: ends[-1]]), split(t[ends[-1] :])] if ends else [split(t)]) if p]
+    step = max((sum(map(len, p)) for p in parts.values()), default=0) + between
     out = []
     for i, text in docs:
-        words = decontaminate.words_of(text or "")
-        found = set()
-        for k in range(0, max(1, len(words))):
-            window = words[k : k + index.longest + 10]
-            found |= {index.items[j][0] for j in range(len(index.items)) if index.verify(window, j) is not None}
-        out.append((i, sorted(found)))
+        words = split(text or "")
+        passages = [words[k : k + 2 * step] for k in range(0, len(words), step)]
+        out.append((i, sorted(j for j, p in parts.items() if any(all(plain_share(w, x) >= 0.8 - 1e-9 for x in p) for w in passages))))
     return sorted(out)
 
 
 @pytest.mark.parametrize("settings", [decontaminate.Settings(), decontaminate.Settings(block=1), decontaminate.Settings(index_items=2)])
 def test_leaks(spark, settings):
     docs = leak_docs()
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"item_ids": F.lit(1), "id": F.lit(2), "key": F.lit(3)})
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"item_ids": F.lit(1), "id": F.lit(2), "key": F.lit(3), "row": F.lit(4), "k1": F.lit("k")})
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted((r["doc_id"], r["item_ids"]) for r in decontaminate.find_leaks(df, items, settings).collect())
-    assert got == expected(docs, settings)
-    assert dict(got)[3] == [1] and dict(got)[9] == [] and dict(got)[8] == [1]
-    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(df, items, settings).collect()) == [i for i, f in got if not f]
+    assert got == expected(docs, ITEMS)
+    assert dict(got)[3] == [1] and dict(got)[9] == [] and dict(got)[8] == [] and dict(got)[6] == [2]
+    clean = decontaminate.drop_leaks(df, items, settings)
+    assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [i for i, f in got if not f]
     assert decontaminate.find_leaks(df.limit(0), items, settings).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.find_leaks(df, items.limit(0), settings).collect())
 
 
+def test_parts_of_a_benchmark_change_nothing(spark):
+    rng = random.Random(12)
+    words = [f"k{i}" for i in range(80)]
+    take = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, f"{take(rng.randint(4, 15))}? {take(rng.randint(1, 12))}.") for i in range(40)]
+    change = lambda t: " ".join(w if rng.random() < 0.97 else rng.choice(words) for w in t.split())
+    docs = [(i, " ".join([take(rng.randint(0, 40)), change(rng.choice(items)[1]), take(rng.randint(0, 60))])) for i in range(120)] + [(7, None), (0, "k1 k2")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    results = []
+    for most in (40, 20, 8):
+        s = decontaminate.Settings(index_items=most)
+        results.append(sorted(map(tuple, decontaminate.find_leaks(df, bench, s).collect()), key=str))
+    assert results[0] == results[1] == results[2]
+    assert sorted((r[0], r[4]) for r in results[0]) == expected(docs, items) and sum(r[3] for r in results[0]) > 40
+
+
+def test_wrong_answers_are_clean(spark):
+    question, answer = ITEMS[0][1].split("? ")
+    docs = [(0, f"{question}? {answer}"), (1, f"{question}? It is a plain wooden hut by the old mill."), (2, f"Nobody asked about anything here at all today. {answer}"), (3, f"{question}? We think: {answer}")]
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: True}
+
+
 def test_wand_retrieves_all_above_threshold():
     rng = random.Random(8)
     words = [f"k{i}" for i in range(60)]
@@ -412,19 +448,20 @@ def test_verified_parts_are_retrieved():
     words = [f"k{i}" for i in range(400)]
     take = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, f"{take(rng.randint(3, 24))}? {take(rng.randint(1, 60))}.") for i in range(60)]
-    index = decontaminate.Index(items, decontaminate.Settings())
-    low = 0
-    for i, (_, text) in enumerate(index.items):
+    index = decontaminate.Index(items, decontaminate.Settings(threshold=0.9))
+    low = verified = 0
+    for i, (_, text) in enumerate(items):
         question, answer = (decontaminate.words_of(p) for p in decontaminate.question_and_answer(text))
-        whole = question + answer
-        tries = [question, question[len(question) // 8 :], question[1:-1], whole[len(whole) // 7 :], whole[: -len(whole) // 7], [*question, "x", "y", *answer], [*question[1:], "x", *answer[1:]]]
+        q, a = len(question) // 6, len(answer) // 6
+        tries = [question + answer, question[q:] + answer[a:], [*question[q // 2 : len(question) - q // 2], "x", "y", *answer[: len(answer) - a]], question, answer]
         for passage in tries:
-            ids = np.array([index.term.get(w, -1) for w in passage] + [-1])
-            found = {j for _, j in index.candidates(ids, np.zeros(len(ids), np.int64))}
-            if index.verify(passage, i) is not None:
+            ids = [index.term.get(w, -1) for w in passage] + [-1]
+            found = {j for _, j in index.candidates(np.array(ids), np.zeros(len(ids), np.int64))}
+            if index.verify(ids, i) is not None:
+                verified += 1
                 assert i in found
-                low += sum(index.impact[t][index.at[t].index(i)] / index.raised[i] for t in set(ids.tolist()) if t >= 0 and i in index.at[t]) < 0.5
-    assert low > 5
+                low += sum(index.impact[t][index.at[t].index(i)] / index.raised[i] for t in set(ids) if t >= 0 and i in index.at[t]) < 0.9
+    assert low > 5 and verified > 100
 
 
 # The pipeline
@@ -455,9 +492,8 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     for r, d in zip(rows, data, strict=True):
         spans = suffix_dedup.spans_of([{"first": i, "last": i} for i in range(len(d) - 199) if counts[d[i : i + 200]] > 1], 200)
         texts[r["doc_id"]] = "".join(p.decode("utf-8", "ignore") for p in suffix_dedup.kept_parts(d, spans))
-    items = [decontaminate.shingles(decontaminate.words_of(r["text"]), 5) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    whole = lambda t: decontaminate.shingles(decontaminate.words_of(t), 5)
-    leaked = {i for i, t in texts.items() if any(len(q & whole(t)) >= 0.8 * len(q) for q in items)}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaked = {i for i, found in expected(list(texts.items()), items) if found}
     assert -3 not in got and -1 not in got and -2 not in got
     assert set(got) == set(texts) - leaked
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
