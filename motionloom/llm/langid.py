@@ -3,8 +3,8 @@
 Features: TF-IDF of character n-grams (1 to 3 letters, lower case, everything
 that isn't a letter counts as a space, runs of spaces as one), hashed into a
 fixed number of buckets. Model: multinomial logistic regression, trained with
-follow-the-regularised-leader and elastic-net penalties, so most weights are
-exactly zero. Its scores are then divided by a temperature that is fitted on
+follow-the-regularised-leader and elastic-net penalties; the first of them
+leaves most weights of the buckets that occur at exactly zero. Its scores are then divided by a temperature that is fitted on
 held-back training rows.
 
 Document frequencies are counted over all training rows. The weights are
@@ -31,10 +31,12 @@ UNKNOWN = "und"
 class Settings:
     buckets: int = 1 << 15
     sample: int = 6000
+    #: Languages that are learned: those with the most rows (ties by name).
+    languages: int = 512
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 0.02
+    l1: float = 0.3
     l2: float = 0.05
     seed: int = 17
 
@@ -180,11 +182,11 @@ def train(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id
 
     The driver holds one count for each bucket and the sample's n-gram counts,
     both bounded by the settings. Rows of the sample with the same id count once,
-    so a repeated row can't swell it.
+    by the least hash of text and language, so a repeated row can't swell it.
     """
     s = settings or Settings()
     known = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.coalesce(is_training("id"), F.lit(False)))
-    counts = dict(known.groupBy("lang").count().collect())
+    counts = dict(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect())
     classes = sorted(counts)
     if not classes:
         return Model([], np.zeros(s.buckets, np.float32), np.zeros((s.buckets, 0), np.float32), np.zeros(0, np.float32), 1.0)
@@ -207,7 +209,8 @@ def train(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in found], batch.column(0).type), pa.array([g[0].astype(np.int32) for _, g, _ in found], pa.list_(pa.int32())), pa.array([g[1].astype(np.int32) for _, g, _ in found], pa.list_(pa.int32())), pa.array([k for *_, k in found], pa.int32())], names=["id", "at", "n", "y"])
 
     kind = known.schema["id"].dataType.simpleString()
-    rows = known.filter(chosen).dropDuplicates(["id"]).mapInArrow(sampled, f"id {kind}, at array<int>, n array<int>, y int")
+    one = known.filter(chosen).groupBy("id").agg(F.min(F.struct(F.xxhash64("text", "lang").alias("hash"), "text", "lang")).alias("r"))
+    rows = one.select("id", "r.text", "r.lang").mapInArrow(sampled, f"id {kind}, at array<int>, n array<int>, y int")
     sample = rows.orderBy(F.xxhash64("id"), "id").select("at", "n", "y").toArrow()
     at, n, y = (sample.column(k).combine_chunks() for k in ("at", "n", "y"))
     a, v, c = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
