@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Headers that a 304 response may update in the stored response. Fixed values (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-RECORD = "warc_type string, uri string, date string, record_id string, http_status int, headers map<string,string>, payload binary"
+RECORD = "warc_type string, uri string, date string, record_id string, http_status int, headers map<string,string>, payload binary, error string"
 
 
 def canonical_url(url: Column) -> Column:
@@ -46,10 +46,12 @@ def resolve_revisits(records: DataFrame, chunk: int = 4096) -> DataFrame:
     null url, ts or record_id are orphans as revisits and never sources.
     Repeated revisits give repeated rows. Other kinds are left out.
 
-    A url with a large share of the rows is split: rows go by (url, ``chunk``
-    ticks of ts). Within a chunk a window finds the latest response; the last
-    response of each chunk, summed up before the shuffle, is carried to later
-    chunks by a window over the summaries only.
+    The as-of join works on the different (url, ts), of which those of
+    responses and of revisits are summed up before the shuffle. A url with a
+    large share of the rows is split: points go by (url, ``chunk`` ticks of
+    ts), so at most two for each tick meet. Within a chunk a window finds the
+    latest response; the last response of each chunk is carried to later chunks
+    by a window over the summaries only.
     """
     base = records.select(
         "record_id", canonical_url(F.col("url").cast("string")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "kind", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest",
@@ -64,11 +66,13 @@ def resolve_revisits(records: DataFrame, chunk: int = 4096) -> DataFrame:
     earlier = Window.partitionBy("url_key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = slots.withColumn("carry", F.last("last", ignorenulls=True).over(earlier)).select("url_key", "slot", "carry")
     # Within a slot.
-    rows = sources.select("url_key", "slot", "ts", F.struct("ts", "record_id").alias("here"), F.lit(None).cast("struct<record_id:bigint,headers:map<string,string>>").alias("visit"))
-    rows = rows.unionByName(visits.select("url_key", "slot", "ts", F.lit(None).cast("struct<ts:bigint,record_id:bigint>").alias("here"), F.struct("record_id", "headers").alias("visit")))
+    points = sources.groupBy("url_key", "slot", "ts").agg(F.max("record_id").alias("record_id")).select("url_key", "slot", "ts", F.struct("ts", "record_id").alias("here"), F.lit(False).alias("asked"))
+    asked = visits.filter("url_key IS NOT NULL AND ts IS NOT NULL").select("url_key", "slot", "ts").distinct()
+    points = points.unionByName(asked.select("url_key", "slot", "ts", F.lit(None).cast("struct<ts:bigint,record_id:bigint>").alias("here"), F.lit(True).alias("asked")))
     before = Window.partitionBy("url_key", "slot").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("near", F.max("here").over(before)).filter("visit IS NOT NULL")
-    found = rows.join(carried, ["url_key", "slot"], "left").withColumn("at", F.coalesce("near", "carry"))
+    points = points.withColumn("near", F.max("here").over(before)).filter("asked")
+    points = points.join(carried, ["url_key", "slot"], "left").select("url_key", "ts", F.coalesce("near", "carry").alias("at"))
+    found = visits.join(points, ["url_key", "ts"], "left").withColumn("visit", F.struct("record_id", "headers"))
     found = found.select("visit.record_id", "url_key", "ts", F.col("visit.headers").alias("own"), F.col("at.record_id").alias("source_id"))
     kept = sources.groupBy("url_key", F.col("record_id").alias("source_id")).agg(F.max(source).alias("source"))
     out = found.join(kept, ["url_key", "source_id"], "left")
@@ -102,35 +106,70 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
-def parse(data: bytes):
-    """The records of a WARC file (not compressed, or gzip members) as dicts with the keys of RECORD."""
-    import gzip
+_NAMES = [x.split(" ")[0] for x in RECORD.split(", ")]
+
+
+def _broken(error: str, head: dict[str, str] | None = None) -> dict:
+    head = head or {}
+    known = {"warc_type": head.get("warc-type"), "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "record_id": head.get("warc-record-id")}
+    return dict.fromkeys(_NAMES) | known | {"headers": {}, "error": error}
 
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while True:
-        while data[at : at + 1] in (b"\r", b"\n"):
-            at += 1
-        if at >= len(data):
-            return
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        head = _headers(data[at:end])
-        size = int(head["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"the record at byte {at} is cut short")
-        at = end + 4 + size
-        http, _, payload = block.partition(b"\r\n\r\n")
-        is_http = http.startswith(b"HTTP/")
-        status = re.match(rb"HTTP/\S+ +(\d+)", http)
-        yield {"warc_type": head.get("warc-type"), "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "record_id": head.get("warc-record-id"), "http_status": int(status[1]) if status else None, "headers": _headers(http) if is_http else {}, "payload": payload if is_http else block}
+
+def _record(head: dict[str, str], block: bytes) -> dict:
+    http, _, payload = block.partition(b"\r\n\r\n")
+    is_http = http.startswith(b"HTTP/")
+    status = re.match(rb"HTTP/\S+ +(\d{1,9})\b", http)
+    return _broken("", head) | {"http_status": int(status[1]) if status else None, "headers": _headers(http) if is_http else {}, "payload": payload if is_http else block, "error": None}
+
+
+def parse(data):
+    """The records of a WARC file (bytes; not compressed, or gzip members) as dicts with the keys of RECORD, one at a time.
+
+    What isn't a record gives one dict with ``error`` for each stretch of it,
+    and reading goes on at the next line that begins with ``WARC/``. A record
+    that is cut short, or a broken gzip member, gives one with what is known of
+    it. An empty file has no records.
+    """
+    import gzip
+    import io
+    import zlib
+
+    stream = io.BytesIO(data)
+    if bytes(data[:2]) == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)
+    lost, head = False, None
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                if line.strip() and not lost:
+                    lost = True
+                    yield _broken("no record begins here")
+                continue
+            lost, lines = False, [line]
+            while (line := stream.readline()).strip():
+                lines.append(line)
+            head = _headers(b"".join(lines))
+            size = head.get("content-length", "")
+            if not re.fullmatch(r"\d{1,18}", size, re.ASCII):
+                yield _broken("no content length", head)
+                lost = True
+                continue
+            block = stream.read(int(size))
+            yield _record(head, block) if len(block) == int(size) else _broken("cut short", head)
+            head = None
+    except (EOFError, OSError, zlib.error) as e:
+        yield _broken(f"broken gzip member: {e}", head)
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """The records of all WARC files under a path. One file is read by one task; write files of bounded size."""
+    """The records of all WARC files under a path, with the columns of RECORD.
+
+    One file is read by one task, which holds its bytes as they are stored and
+    one batch of records; files of 2 GB or more can't be read, so write files
+    of bounded size. Defined results: fields that a record lacks are null;
+    broken records are rows with an ``error`` and don't stop the read; empty
+    files give no rows; repeated records are repeated rows.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
     def rows(it):
@@ -138,8 +177,14 @@ def read_warc(spark, path: str) -> DataFrame:
 
         for frame in it:
             for content in frame["content"]:
-                found = list(parse(bytes(content)))
-                for a in range(0, len(found), 256):
-                    yield pd.DataFrame(found[a : a + 256], columns=[x.split(" ")[0] for x in RECORD.split(", ")])
+                held, size = [], 0
+                for record in parse(content):
+                    held.append(record)
+                    size += len(record["payload"] or b"") + 1000
+                    if size >= 4 << 20:
+                        yield pd.DataFrame(held, columns=_NAMES)
+                        held, size = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=_NAMES)
 
     return files.mapInPandas(rows, RECORD)
