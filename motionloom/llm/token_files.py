@@ -11,12 +11,15 @@ ones before it.
 Layout of a shard, all little-endian:
 
     8 bytes    magic b"DACTOK01"
-    6 uint64   first token's place in the corpus, tokens, documents, levels, width, 0
+    6 uint64   0, tokens, documents, levels, width, 0
     tokens' document starts: (documents + 1) uint64, counted from the shard's first token
     for each level: uint64 count; count bytes of chunks (width 8) or uint16 (width 16);
         bitmap of ceil(count / 64) uint64; directory of ceil(count / 512) + 1 uint64
 
-Numbers of bytes are padded to a multiple of 8.
+Numbers of bytes are padded to a multiple of 8. The folder's ``manifest`` table
+names the files and each one's first token's place in the corpus. A file's name
+holds the attempt that wrote it, so nothing is ever renamed or written twice:
+the manifest, which Spark commits, has the files of the attempts that counted.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import new_folder
@@ -127,10 +130,20 @@ class Shard:
         return self.tokens(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+#: Names that Spark and pyarrow have for one kind of store.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs"}
+
+
 def _open(path: str):
+    """The store and the path in it. Python tasks write the files, so the store has to be one that pyarrow knows."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme == "dbfs":
+        return fs.LocalFileSystem(), f"/dbfs/{rest.lstrip('/')}"
+    if path.startswith("dbfs:/"):
+        return fs.LocalFileSystem(), f"/dbfs/{path[6:].lstrip('/')}"
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else path)
 
 
 def _write_partition(batches, folder: str, width: int, shard_tokens: int):
@@ -148,12 +161,11 @@ def _write_partition(batches, folder: str, width: int, shard_tokens: int):
         starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
         data = encode_shard(np.concatenate(parts), starts, width)
         table = pa.table({"doc_id": pa.concat_arrays(keys)})
-        name = f"{root}/{part:06d}-{seq:06d}"
+        name = f"{part:06d}-{seq:06d}-{attempt}"
         for end, write in ((".dac", lambda f: f.write(data)), (".ids", lambda f: pa.ipc.new_stream(f, table.schema).write_table(table))):
-            with store.open_output_stream(f"{name}{end}.{attempt}") as f:
+            with store.open_output_stream(f"{root}/{name}{end}") as f:
                 write(f)
-            store.move(f"{name}{end}.{attempt}", f"{name}{end}")  # a lost attempt leaves no half file under the final name
-        row = (part, seq, f"{folder}/{part:06d}-{seq:06d}", len(starts) - 1, int(starts[-1]))
+        row = (part, seq, f"{folder}/{name}", len(starts) - 1, int(starts[-1]))
         keys, parts, lengths, held, seq = [], [], [], 0, seq + 1
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
@@ -175,19 +187,26 @@ def _write_partition(batches, folder: str, width: int, shard_tokens: int):
         yield shard()
 
 
-def write_tokens(df: DataFrame, folder: str, encode: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", width: int = 8, shard_tokens: int = 4_000_000) -> DataFrame:
-    """Write the ids of all documents in ascending order of the id column; return the manifest.
+def write_tokens(df: DataFrame, folder: str, encode: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", width: int = 8, shard_tokens: int = 4_000_000) -> None:
+    """Write the ids of all documents in ascending order of the id column to a new folder, with its manifest.
 
     ``encode`` maps (id, text) rows to (id, ids array<int>) batch by batch. The
     rows are dealt out by range of (id, text hash), so that a repeated id
     can't fill one task; each task sorts its range, encodes it and writes its
-    shards. Manifest columns: part, seq, path, n_docs, n_tokens; one row for
-    each shard. Null ids come first. Rows alike in id and text may stand in
-    any order. An empty table gives an empty manifest.
+    shards. Manifest columns: part, seq, path, n_docs, n_tokens, start (tokens
+    of all shards before); one row for each shard. Null ids come first. Rows
+    alike in id and text may stand in any order. An empty table gives an empty
+    manifest.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    return encode(rows).mapInArrow(lambda it: _write_partition(it, folder, width, shard_tokens), _MANIFEST)
+    encode(rows).mapInArrow(lambda it: _write_partition(it, folder, width, shard_tokens), _MANIFEST).write.parquet(f"{folder}/written")
+    written = df.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/written")
+    # Within a part, and over the parts, of which there are as many as tasks that wrote.
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    parts = written.groupBy("part").agg(F.sum("n_tokens").alias("all")).withColumn("ahead", F.coalesce(F.sum("all").over(before(F.lit(0)).orderBy("part")), F.lit(0)))
+    starts = written.withColumn("own", F.coalesce(F.sum("n_tokens").over(before("part").orderBy("seq")), F.lit(0))).join(parts.select("part", "ahead"), "part")
+    starts.select(*written.columns, (F.col("ahead") + F.col("own")).alias("start")).write.parquet(f"{folder}/manifest")
 
 
 def _read_shards(batches):
@@ -205,22 +224,30 @@ def _read_shards(batches):
                 yield pa.RecordBatch.from_arrays([keys[a:b], pa.array(shard.starts[a:b] + start), pa.ListArray.from_arrays(pa.array(cut), pa.array(ids.astype(np.int64)))], names=["doc_id", "start", "ids"])
 
 
-def _shards(spark: SparkSession, manifest: list) -> DataFrame:
-    """One row for each shard: its path, and the tokens of all shards before it."""
-    rows, start = [], 0
-    for m in sorted(manifest, key=lambda m: (m["part"], m["seq"])):
-        rows.append((m["path"], start))
-        start += m["n_tokens"]
-    shards = spark.createDataFrame(rows, "path string, start long")
-    return shards.repartition(len(rows), "path") if len(rows) > 1 else shards
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each shard of a folder; ``start`` finds the shard of any token of the corpus."""
+    return spark.read.schema(f"{_MANIFEST}, start long").parquet(f"{folder}/manifest")
 
 
-def read_tokens(spark: SparkSession, manifest: list, id_type: str = "bigint") -> DataFrame:
-    """Columns doc_id, start (tokens of all documents before), ids array<long>, read from the files.
+def _shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The shards' paths and starts, dealt to as many tasks as there are shards, or 10 000."""
+    shards = read_manifest(spark, folder).select("path", "start")
+    return shards.repartition(max(1, min(10_000, shards.count())), "path")
 
-    ``manifest``: the rows of write_tokens; one for each shard, not for each document.
-    """
-    return _shards(spark, manifest).mapInArrow(_read_shards, f"doc_id {id_type}, start long, ids array<long>")
+
+def read_tokens(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
+    """Columns doc_id, start (tokens of all documents before), ids array<long>, read from a folder's files."""
+    return _shards(spark, folder).mapInArrow(_read_shards, f"doc_id {id_type}, start long, ids array<long>")
+
+
+def token_at(spark: SparkSession, folder: str, place: int) -> int:
+    """One id by its place in the corpus: one manifest row, then one place on each level of its shard."""
+    found = read_manifest(spark, folder).filter((F.col("start") <= place) & (F.col("start") + F.col("n_tokens") > place)).select("path", "start").first()
+    if found is None:
+        raise IndexError(place)
+    store, root = _open(found["path"])
+    with store.open_input_file(f"{root}.dac") as f:
+        return Shard(f.read()).token(place - found["start"])
 
 
 def _crc(batches):
@@ -231,14 +258,14 @@ def _crc(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_digests(spark: SparkSession, manifest: list, id_type: str = "bigint") -> DataFrame:
+def read_digests(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
     """Columns doc_id, start, n_tokens, ids_crc32 of what read_tokens reads; the ids themselves stay in the reading task."""
-    return _shards(spark, manifest).mapInArrow(lambda it: _crc(_read_shards(it)), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return _shards(spark, folder).mapInArrow(lambda it: _crc(_read_shards(it)), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(df: DataFrame, encode: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, read=read_tokens, **options) -> DataFrame:
     """Write all documents to a new shared folder and read them back from the files, as read_tokens or read_digests does."""
     spark = df.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    manifest = write_tokens(df, folder, encode, id_col, text_col, **options).collect()
-    return read(spark, manifest, df.schema[id_col].dataType.simpleString())
+    write_tokens(df, folder, encode, id_col, text_col, **options)
+    return read(spark, folder, df.schema[id_col].dataType.simpleString())
