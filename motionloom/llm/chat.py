@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 START, END = "<|im_start|>", "<|im_end|>"
-_PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
 
 
 def escape(text: str) -> str:
@@ -54,18 +54,19 @@ class Flattener:
     attachments: list[dict] = field(default_factory=list)
 
     def visit(self, part: dict) -> str:
-        method = getattr(self, f"visit_{part['type'] or 'text'}", None)
-        if method is None:
-            raise ValueError(f"no such part type: {part['type']!r}")
-        return method(part)
+        return {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(part["type"], self.visit_other)(part)
 
     def visit_text(self, part: dict) -> str:
         return escape(part["text"] or "")
 
-    def _attach(self, part: dict, tokens: int) -> str:
+    def _attach(self, part: dict, tokens: int, name: str | None = None) -> str:
         n = len(self.attachments)
         self.attachments.append({"number": n, "type": part["type"], "uri": part["uri"], "tokens": tokens})
-        return f"<|{part['type']}:{n}|>"
+        return f"<|{name or part['type']}:{n}|>"
+
+    def visit_other(self, part: dict) -> str:
+        """A part of a type that isn't known: its type and reference are kept, at no tokens."""
+        return self._attach(part, 0, "other")
 
     def visit_image(self, part: dict) -> str:
         tiles = math.ceil((part["width"] or 1) / self.image_tile) * math.ceil((part["height"] or 1) / self.image_tile)
@@ -81,7 +82,7 @@ class Flattener:
 def _joined(parts: list[dict]) -> list[dict]:
     """Neighbouring texts as one, so that no control string can form across their border."""
     out: list[dict] = []
-    for part in parts:
+    for part in filter(None, parts):
         kind = part["type"] or "text"
         if kind == "text" and out and out[-1]["type"] == "text":
             out[-1] = {"type": "text", "text": out[-1]["text"] + (part["text"] or "")}
@@ -124,7 +125,7 @@ def content_parts(content: str, attachments: list[dict]) -> list[dict]:
     for m in _PLACEHOLDER.finditer(content):
         if m.start() > at:
             parts.append({"type": "text", "text": unescape(content[at : m.start()])})
-        parts.append({"type": m[1], "uri": attachments[int(m[2])]["uri"]})
+        parts.append({k: attachments[int(m[2])][k] for k in ("type", "uri")})
         at = m.end()
     if at < len(content):
         parts.append({"type": "text", "text": unescape(content[at:])})
@@ -146,14 +147,17 @@ def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     ``parts``: array of PART. The turns go by turn number (nulls first); equal
     turns by role, then by their parts. Defined results: null texts and roles
-    count as empty; a null list of parts gives an empty content; repeated rows
-    are turns of their own; null conversation ids form one conversation; an
-    empty table gives no rows. A conversation is one output value, so its rows
+    count as empty; a null list of parts gives an empty content; null parts
+    are left out; a part of an unknown type is an attachment of no tokens with
+    the placeholder ``<|other:N|>``; repeated rows are turns of their own; a
+    row without a conversation id is a conversation of its own; an empty table
+    gives no rows. A conversation is one output value, so its rows
     have to meet; what meets is bounded by a conversation, not by the table.
     """
     kind = messages.schema[conv_col].dataType.simpleString()
     rows = messages.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(parts_col).cast(f"array<{PART}>").alias("parts")).alias("t"))
-    turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = rows.filter("conv IS NOT NULL").groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = turns.unionByName(rows.filter("conv IS NULL").select("conv", F.array("t").alias("turns")))
 
     def batches(it):
         import pyarrow as pa

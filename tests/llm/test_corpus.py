@@ -1,6 +1,7 @@
 import binascii
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -35,6 +36,103 @@ def test_language_accuracy(spark, documents):
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[-4]["lang_pred"] in set(truth.values())
 
 
+def plain_language(rows, order, s):
+    """TF-IDF, FTRL and temperature once more, a number at a time. rows: id -> (text, lang); order: the training ids."""
+    wide = (1 << 64) - 1
+    p, q, r = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+
+    def counts(text):
+        if not any(c.isalpha() for c in text or ""):
+            return None
+        spaced = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).lstrip() + " "
+        out = collections.Counter()
+        for n in (1, 2, 3):
+            for k in range(len(spaced) - n + 1):
+                a = [ord(c) for c in spaced[k : k + n]]
+                h = a[0] * r if n == 1 else a[0] * p + (a[1] + 1) * q + ((a[2] + 2) * r if n == 3 else 0)
+                h &= wide
+                out[(((h ^ h >> 29) * p & wide) >> 40) & (s.buckets - 1)] += 1
+        return out
+
+    found = {i: counts(t) for i, (t, _) in rows.items()}
+    train = [i for i in order if found[i] is not None]
+    df = collections.Counter(b for i in train for b in found[i])
+    idf = lambda b: math.log((1 + len(train)) / (1 + df[b])) + 1
+
+    def vector(c):
+        x = {b: (1 + math.log(n)) * idf(b) for b, n in c.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {b: v / norm for b, v in x.items()}
+
+    classes = sorted({rows[i][1] for i in order})
+    z, n, shuffled = collections.defaultdict(float), collections.defaultdict(float), np.random.default_rng(s.seed).permutation(len(train))
+
+    def weight(key):
+        l1 = 0.0 if key[0] == "bias" else s.l1
+        return 0.0 if abs(z[key]) <= l1 else -(z[key] - math.copysign(l1, z[key])) / ((s.beta + math.sqrt(n[key])) / s.alpha + s.l2)
+
+    def scores(x):
+        return [sum(v * weight((b, k)) for b, v in x.items()) + weight(("bias", k)) for k in range(len(classes))]
+
+    def soft(v, t=1.0):
+        e = [math.exp((a - max(v)) / t) for a in v]
+        return [a / sum(e) for a in e]
+
+    for _ in range(s.epochs):
+        for j in shuffled[len(train) // 5 :]:
+            x, own = vector(found[train[j]]), classes.index(rows[train[j]][1])
+            share = soft(scores(x))
+            for k in range(len(classes)):
+                g = share[k] - (k == own)
+                for b, v in [*x.items(), ("bias", 1.0)]:
+                    key, d = (b, k), g * v
+                    w, new = weight(key), n[key] + d * d
+                    z[key] += d - (math.sqrt(new) - math.sqrt(n[key])) / s.alpha * w
+                    n[key] = new
+    held = [(scores(vector(found[train[j]])), classes.index(rows[train[j]][1])) for j in shuffled[: len(train) // 5]]
+    loss = lambda t: -sum(math.log(max(soft(v, t)[y], 1e-12)) for v, y in held)
+    temperature = min((math.exp(-4 + 7 * i / 700) for i in range(701)), key=loss)
+    out = {}
+    for i, c in found.items():
+        share = soft(scores(vector(c)), temperature) if c else None
+        out[i] = (classes[share.index(max(share))], max(share)) if c else ("und", 0.0)
+    seen = [(b, k) for b in df for k in range(len(classes))]
+    return out, sum(weight(key) != 0 for key in seen) / len(seen)
+
+
+def test_language_matches_plain_python(spark):
+    rng = random.Random(21)
+    stems = {"aa": "kalo mira tosu", "bb": "ßtrek über würn", "cc": "kalo zhem priv"}
+    rows = {}
+    for i in range(150):
+        lang = "abc"[i % 3] * 2
+        mixed = stems[lang] if rng.random() < 0.8 else " ".join(stems.values())
+        rows[i] = (" ".join(rng.choice(mixed.split()) + rng.choice(["", "s", "!", " 7"]) for _ in range(rng.randint(1, 12))), lang)
+    rows |= {150: (None, "aa"), 151: ("12 !", "bb"), 152: (".Kalo, MIRA", "aa"), 153: ("x", "cc")}
+    df = spark.createDataFrame([(i, *v) for i, v in rows.items()], "doc_id long, text string, lang string")
+    order = [r["doc_id"] for r in df.filter(langid.is_training("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    s = langid.Settings(buckets=1 << 10, l1=0.1)
+    want, _ = plain_language(rows, order, s)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, s).collect()}
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 0.01 for i in rows)
+
+
+@tables
+def test_most_seen_weights_are_zero(documents):
+    model = langid.train(documents)
+    seen = (model.idf < model.idf.max()).nonzero()[0]
+    assert (model.weights[seen] != 0).mean() < 0.5
+
+
+def test_repeated_ids_and_many_languages(spark):
+    rows = [(i % 40, f"{'ab' if i % 2 else 'xy'} word{i}", "one" if i % 2 else "two") for i in range(120)] + [(1000 + i, f"q{i}", f"dirty{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    s = langid.Settings(languages=2)
+    a, b = langid.train(df, s), langid.train(df.repartition(3, "text"), s)
+    assert a.classes == b.classes == ["one", "two"] and (a.weights == b.weights).all()
+
+
 @tables
 def test_language_ignores_held_out_labels(documents):
     wrong = documents.withColumn("lang", F.when(langid.is_training("doc_id"), F.col("lang")).otherwise("xx"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from motionloom.llm import bpe, library_encode, token_files, wordvocab
+from motionloom.llm import bpe, library_encode, shared, token_files, wordvocab
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -90,6 +90,12 @@ def test_token_files_round_trip(spark, library, size):
     want = sorted((i, zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)) for i, t in rows for ids in [library.encode(t or "", add_special_tokens=False).ids + [1]])
     assert sorted((r["doc_id"], r["ids_crc32"], r["n_tokens"]) for r in got) == want
     assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
+    folder = shared.new_folder(spark, "places")
+    token_files.write_tokens(df, folder, library_encode.with_end(PATH, 1), shard_tokens=size)
+    order = [i for r in sorted(whole, key=lambda r: r["start"]) for i in r["ids"]]
+    assert [token_files.token_at(spark, folder, k) for k in (0, len(order) // 2, len(order) - 1)] == [order[0], order[len(order) // 2], order[-1]]
+    with pytest.raises(IndexError):
+        token_files.token_at(spark, folder, len(order))
     assert token_files.write_and_read(df.limit(0), library_encode.with_end(PATH, 1)).count() == 0
 
 
