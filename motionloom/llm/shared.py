@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For each open ``scratch``: what has been written within it.
+_open_scratch: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    for made in _open_scratch:
+        made.append(out)
     return out
 
 
@@ -66,6 +71,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Deletes the tables that operators wrote within it. Save their results before it ends."""
+    made: list[DataFrame] = []
+    _open_scratch.append(made)
+    try:
+        yield
+    finally:
+        _open_scratch.remove(made)
+        discard(*made)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete everything that this application's operators have written to the shared folder.
 
