@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from motionloom.llm import bpe, decontaminate, langid, minhash, suffix_dedup
 from motionloom.llm.queries import WORD_BPE, table
-from motionloom.llm.shared import new_folder
+from motionloom.llm.shared import new_folder, scratch
 
 #: Documents whose best language has a lower calibrated score are rejected, and those without letters.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -20,18 +20,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a similarity of 0.8 over five-word shingles."""
-    return minhash.drop_near_duplicates(docs, minhash.Settings(shingle=5)).select(*docs.columns)
+    """One document of each group at a similarity of 0.8 over five-word shingles, that with the smallest id.
+
+    Documents are judged by their texts: one without an id, or with the id of
+    an unlike text, stays. Documents without words all stay; an empty table
+    gives no rows.
+    """
+    return minhash.drop_near_duplicates(docs, minhash.Settings(shingle=5))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the bytes that 200-byte repeats cover; n_chars follows the text."""
+    """Every document, without the bytes that 200-byte repeats cover; n_chars follows the text.
+
+    Documents that share an id or have none are texts of their own. A null text
+    stays null; an empty table gives no rows.
+    """
     out = suffix_dedup.remove_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. A null text is clean; ids aren't looked at; an empty table gives no rows."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -53,10 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written as Parquet and read again."""
+    """All stages over the documents table, each written as Parquet and read again. What a stage needs in between is deleted after it."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = new_folder(spark, f"stage{k + 1}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
