@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,19 +158,27 @@ class Model:
         return self.classes[k], float(p[k])
 
 
-def _train(rows: list[tuple[list[int], list[int], int]], classes: list[str], idf: np.ndarray, s: Settings) -> Model:
-    """Fit on the sample's rows (buckets, counts, class); a fifth of them is for the temperature."""
-    order = np.random.default_rng(s.seed).permutation(len(rows))
-    held = order[: len(rows) // 5]
-    rest = order[len(rows) // 5 :]
-    x = [(np.asarray(at), _vector((np.asarray(at), np.asarray(n)), idf)) for at, n, _ in rows]
-    y = np.array([k for *_, k in rows], int)
+def _train(at: np.ndarray, n: np.ndarray, start: np.ndarray, y: np.ndarray, classes: list[str], idf: np.ndarray, s: Settings) -> Model:
+    """Fit on the sample's rows; a fifth of them is for the temperature.
+
+    Row i has the buckets at[start[i]:start[i + 1]], their counts n and the
+    class y[i]. All rows stand in one array, which goes back to the system as
+    a whole: many small ones would stay with the driver's process.
+    """
+    order = np.random.default_rng(s.seed).permutation(len(y))
+    held, rest = order[: len(y) // 5], order[len(y) // 5 :]
+    x = np.log(n)
+    x += 1
+    x *= idf[at]
+    if len(y):
+        x /= np.repeat(np.sqrt(np.add.reduceat(x * x, start[:-1])), np.diff(start))
+    row = lambda i: slice(start[i], start[i + 1])
     leader = Ftrl(len(idf), len(classes), s)
     for _ in range(s.epochs):
         for i in rest:
-            leader.step(*x[i], y[i])
+            leader.step(at[row(i)], x[row(i)], y[i])
     w, bias = leader.weights(leader.z, leader.n), leader.bias()
-    scores = np.array([x[i][1] @ w[x[i][0]] + bias for i in held]).reshape(len(held), len(classes))
+    scores = np.array([x[row(i)] @ w[at[row(i)]] + bias for i in held]).reshape(len(held), len(classes))
     return Model(classes, idf.astype(np.float32), w.astype(np.float32), bias.astype(np.float32), fit_temperature(scores, y[held]))
 
 
@@ -211,10 +220,13 @@ def train(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id
     kind = known.schema["id"].dataType.simpleString()
     one = known.filter(chosen).groupBy("id").agg(F.min(F.struct(F.xxhash64("text", "lang").alias("hash"), "text", "lang")).alias("r"))
     rows = one.select("id", "r.text", "r.lang").mapInArrow(sampled, f"id {kind}, at array<int>, n array<int>, y int")
-    sample = rows.orderBy(F.xxhash64("id"), "id").select("at", "n", "y").toArrow()
-    at, n, y = (sample.column(k).combine_chunks() for k in ("at", "n", "y"))
-    a, v, c = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
-    return _train([(v[i:j], c[i:j], k) for i, j, k in zip(a[:-1], a[1:], y.to_pylist(), strict=True)], classes, idf, s)
+    sample = rows.orderBy(F.xxhash64("id"), "id").select("at", "n", "y").toArrow().combine_chunks()
+    flat = [np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy() for c in sample.column(k).chunks)]) for k in ("at", "n")]
+    start = np.concatenate([[0], np.cumsum(pc.list_value_length(sample.column("at")).to_numpy())]).astype(np.int64)
+    y = sample.column("y").to_numpy().astype(np.int64)
+    del sample
+    pa.default_memory_pool().release_unused()
+    return _train(*flat, start, y, classes, idf, s)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,19 +93,19 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def counted_join(big: DataFrame, side: DataFrame, keys: list[str], count: str, share: int = 1 << 13) -> DataFrame:
+def counted_join(big: DataFrame, side: DataFrame, keys: list[str], count: str, share: int = 1 << 13, least: int = 1000) -> DataFrame:
     """Inner join of ``big`` with ``side``, where column ``count`` of side says how many rows of big have the key at most.
 
-    Side rows that stand for more than one in ``share`` of the counted rows
-    are sent to every task, so that a frequent key isn't dealt to one: there
-    are fewer than ``share`` of them at any size. The others are merge-joined.
-    Both tables are read twice; pass written ones. Without frequent keys it is
-    a merge join.
+    Side rows that stand for more than one in ``share`` of the counted rows,
+    and for more than ``least``, are sent to every task, so that a frequent key
+    isn't dealt to one: there are fewer than ``share`` of them at any size. The
+    others are merge-joined. Both tables are read twice; pass written ones.
+    Without frequent keys it is a merge join.
     """
     total, most = side.agg(F.coalesce(F.sum(F.col(count).cast("double")), F.lit(0.0)), F.coalesce(F.max(count), F.lit(0))).first()
-    if most * share <= total:
+    if most * share <= total or most <= least:
         return big.join(side.hint("merge"), keys)
-    often = F.col(count) * share > total
+    often = (F.col(count) * share > total) & (F.col(count) > least)
     heavy = side.filter(often)
     rest = big.join(F.broadcast(heavy.select(*keys).distinct()), keys, "left_anti")
     return big.join(F.broadcast(heavy), keys).unionByName(rest.join(side.filter(~often).hint("merge"), keys))
