@@ -111,7 +111,7 @@ class WordTable:
     table starts afresh beyond ``most`` chunks, so its memory is bounded.
     """
 
-    def __init__(self, vocab: WordVocab, encode_new, most: int = 1_000_000):
+    def __init__(self, vocab: WordVocab, encode_new, most: int = 600_000):
         self.vocab, self.encode_new, self.most = vocab, encode_new, most
         self.clear()
 
