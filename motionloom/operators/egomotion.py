@@ -31,41 +31,59 @@ def covered(m: np.ndarray, width: float, height: float) -> float:
     return min(1.0, area / (width * height))
 
 
-class AnchorChain:
-    """Global poses from motions against the last anchor. ``advance`` returns the pose and whether the frame becomes the anchor."""
+def compose(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The 2x3 matrix that applies q first, then p."""
+    return np.hstack([p[:, :2] @ q[:, :2], (p[:, :2] @ q[:, 2] + p[:, 2])[:, None]])
 
-    def __init__(self, width: float, height: float, min_overlap: float):
-        self.size, self.min_overlap = (width, height), min_overlap
-        self.anchor = self.pose = np.hstack([np.eye(2), np.zeros((2, 1))])
 
-    def advance(self, local: np.ndarray | None) -> tuple[np.ndarray, bool]:
-        if local is None:  # lost: hold the pose and start from here
-            self.anchor = self.pose
-            return self.pose, True
-        g = self.anchor
-        self.pose = np.hstack([g[:, :2] @ local[:, :2], (g[:, :2] @ local[:, 2] + g[:, 2])[:, None]])
-        again = covered(local, *self.size) < self.min_overlap
-        if again:
-            self.anchor = self.pose
-        return self.pose, again
+def chained(motions, width: float, height: float, min_overlap: float):
+    """(pose, anchored) for each (usable, motion) of a clip, in frame order.
+
+    A motion maps the frame into the current anchor's; None is a failed fit.
+    The first usable frame is the first anchor, at the identity. A frame with
+    nothing to match holds the pose and changes nothing. After a failed fit
+    the frame takes over as anchor at the old anchor's pose, for there is no
+    other. A fitted frame that covers too little of the anchor takes over at
+    its own pose.
+    """
+    anchor = pose = np.hstack([np.eye(2), np.zeros((2, 1))])
+    started = False
+    for usable, motion in motions:
+        if not usable:
+            yield pose, False
+        elif not started:
+            started = True
+            yield pose, True
+        elif motion is None:
+            pose = anchor
+            yield pose, True
+        else:
+            pose = compose(anchor, motion)
+            moves_on = covered(motion, width, height) < min_overlap
+            if moves_on:
+                anchor = pose
+            yield pose, moves_on
 
 
 def chain_poses(motions: DataFrame, width: float, height: float, min_overlap: float) -> DataFrame:
-    """Poses of (clip_id, frame, a..ty) motions against the current anchor; a null ``a`` is a failed fit. The first frame is an anchor.
+    """Poses of (clip_id, frame, a..ty) motions against the current anchor; a null ``a`` is a failed fit.
 
-    The chain is a fold in frame order: six numbers for each frame of one clip meet.
+    Frames with too few features have ``usable`` false; without that column all
+    frames are usable. The chain is a fold in frame order: a few numbers for
+    each frame of one clip meet.
     """
 
     def fold(frame):
         frame = frame.sort_values("frame")
-        chain, out = AnchorChain(width, height, min_overlap), []
-        for k, (a, b, c, d, tx, ty) in enumerate(frame[["a", "b", "c", "d", "tx", "ty"]].to_numpy()):
-            pose, again = (chain.pose, True) if k == 0 else chain.advance(None if np.isnan(a) else np.array([[a, b, tx], [c, d, ty]]))
-            out.append((pose[0, 0], pose[0, 1], pose[1, 0], pose[1, 1], pose[0, 2], pose[1, 2], again))
+        rows = frame[["usable", "a", "b", "c", "d", "tx", "ty"]].to_numpy(object)
+        steps = ((u, None if a is None or np.isnan(a) else np.array([[a, b, tx], [c, d, ty]], float)) for u, a, b, c, d, tx, ty in rows)
+        out = [(*p[:, :2].ravel(), *p[:, 2], again) for p, again in chained(steps, width, height, min_overlap)]
         names = ["a", "b", "c", "d", "tx", "ty", "anchored"]
         return frame[["clip_id", "frame"]].assign(**{n: [o[i] for o in out] for i, n in enumerate(names)})
 
-    return motions.select("clip_id", "frame", "a", "b", "c", "d", "tx", "ty").groupBy("clip_id").applyInPandas(fold, POSES)
+    usable = F.coalesce("usable", F.lit(True)) if "usable" in motions.columns else F.lit(True)
+    rows = motions.select("clip_id", "frame", usable.alias("usable"), "a", "b", "c", "d", "tx", "ty")
+    return rows.groupBy("clip_id").applyInPandas(fold, POSES)
 
 
 def anchor_events(poses: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from motionloom.functions import geometry as G
 
+# The margin in grid units, degrees, the limits and the names of the checks.
 MARGIN = 33.0
 HEADING_STEP = 20.0
 #: (speed, acceleration) limits by unit system: 0 English, 1 metric.
@@ -26,11 +27,22 @@ def limits(units: int) -> tuple[float, float]:
     return LIMITS.get(units, LIMITS[1])
 
 
-def with_ordinal(records: DataFrame) -> DataFrame:
-    """Adds the number of the record's timestep in its clip, from 0. Only distinct timesteps are ordered."""
+def numbered(timesteps: DataFrame) -> DataFrame:
+    """clip_id, frame, ordinal of distinct timesteps: their number in the clip, from 0."""
     order = Window.partitionBy("clip_id").orderBy("frame")
-    steps = records.select("clip_id", "frame").distinct().withColumn("ordinal", F.row_number().over(order).cast("long") - 1)
-    return records.join(steps, ["clip_id", "frame"])
+    return timesteps.select("clip_id", "frame").distinct().withColumn("ordinal", F.row_number().over(order).cast("long") - 1)
+
+
+def with_ordinal(records: DataFrame, timesteps: DataFrame | None = None) -> DataFrame:
+    """Adds the number of the record's timestep in its clip, and the clip's last one.
+
+    ``timesteps`` (clip_id, frame) are all of a clip's, those without vehicles
+    included, which a vehicle that is seen before and after is missing from.
+    Without them only timesteps with records count.
+    """
+    steps = numbered(records if timesteps is None else timesteps)
+    last = steps.groupBy("clip_id").agg(F.max("ordinal").alias("last_ordinal"))
+    return records.join(steps, ["clip_id", "frame"]).join(last, "clip_id")
 
 
 def centroid() -> tuple[Column, Column]:
@@ -61,16 +73,14 @@ def contiguous_runs(records: DataFrame) -> DataFrame:
     return df.withColumn("run", F.sum(F.col("run_start").cast("long")).over(order))
 
 
-def judged(records: DataFrame, clips: DataFrame, margin: float = MARGIN, heading_step: float = HEADING_STEP, max_speed: float | None = None, max_accel: float | None = None, units: int = 1) -> DataFrame:
+def judged(records: DataFrame, clips: DataFrame, timesteps: DataFrame | None = None, margin: float = MARGIN, heading_step: float = HEADING_STEP, max_speed: float | None = None, max_accel: float | None = None, units: int = 1) -> DataFrame:
     """The records with one nullable verdict for each check: true, false, or null where it doesn't apply.
 
     The windows share one partitioning by (clip_id, vehicle_id).
     """
     speed, accel = (given if given is not None else default for given, default in zip((max_speed, max_accel), limits(units), strict=True))
     canvas = clips.select("clip_id", F.col("width").alias("canvas_width"), F.col("height").alias("canvas_height"), "scale")
-    df = with_ordinal(records)
-    last = df.groupBy("clip_id").agg(F.max("ordinal").alias("last_ordinal"))
-    df = contiguous_runs(df.join(canvas.join(last, "clip_id"), "clip_id"))
+    df = contiguous_runs(with_ordinal(records, timesteps).join(canvas, "clip_id"))
     order = Window.partitionBy("clip_id", "vehicle_id").orderBy("ordinal", "row_id")
     df = df.withColumn("angle", heading_angle())
     df = df.withColumn("heading_delta", G.angle_step(F.lag("angle").over(order), F.col("angle")))

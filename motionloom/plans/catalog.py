@@ -174,8 +174,7 @@ def support_gate(spark, sf):
 # Zones
 
 def _flagged(spark, sf):
-    polygons = exclusion.polygons_of(exclusion.zones_in_global_frame(V.zones(spark), V.anchors(spark)))
-    return exclusion.flag_inside(V.observations(spark, sf), polygons)
+    return exclusion.flag_zones(V.observations(spark, sf), exclusion.zones_in_global_frame(V.zones(spark), V.anchors(spark)))
 
 
 @query(f"WITH {V.PIP} SELECT row_id, inside FROM flagged")
@@ -216,11 +215,10 @@ def srt_mean_altitude(spark, sf):
     return calibrate.mean_altitude(lines).select(R("altitude_m").alias("altitude_m"), "n")
 
 
-@query("SELECT event_id // 5 AS frame, max(value) FILTER (event_id % 5 = 0) AS s0, max(value) FILTER (event_id % 5 = 1) AS s1, max(value) FILTER (event_id % 5 = 2) AS s2, max(value) FILTER (event_id % 5 = 3) AS s3, NULL::DOUBLE AS s9 FROM events WHERE event_id % 5 < 4 GROUP BY 1")
+@query("SELECT event_id // 5 AS frame, max(value) FILTER (event_id % 5 = 0) AS s0, max(value) FILTER (event_id % 5 = 1) AS s1, max(value) FILTER (event_id % 5 = 2) AS s2, max(value) FILTER (event_id % 5 = 3) AS s3, max(value) FILTER (event_id % 5 = 4) AS s4, NULL::DOUBLE AS s9 FROM events GROUP BY 1")
 def timing_pivot(spark, sf):
-    e = V.table(spark, sf, "events").filter("event_id % 5 < 4")
-    t = e.select(F.floor(F.col("event_id") / 5).alias("frame"), F.concat(F.lit("s"), (F.col("event_id") % 5).cast("string")).alias("step"), F.col("value").alias("seconds"))
-    return sidecars.timing_table(t, ["s0", "s1", "s2", "s3", "s9"])
+    t = V.table(spark, sf, "events").select(F.floor(F.col("event_id") / 5).alias("frame"), F.concat(F.lit("s"), (F.col("event_id") % 5).cast("string")).alias("step"), F.col("value").alias("seconds"))
+    return sidecars.timing_table(t, ["s0", "s1", "s2", "s3", "s4", "s9"])
 
 
 # Tracks
@@ -301,7 +299,7 @@ def postprocess_states(spark, sf):
 # Checks
 
 def _judged(spark, sf):
-    return validate.judged(V.records(spark, sf), V.clips(spark))
+    return validate.judged(V.records(spark, sf), V.clips(spark), V.timesteps(spark))
 
 
 @query(f"WITH {V.JUDGED} SELECT clip_id, vehicle_id, row_id, ordinal, (sum(run_start::INTEGER) OVER (PARTITION BY clip_id, vehicle_id ORDER BY ordinal, row_id))::BIGINT AS run, run_start, run_end FROM judged")
@@ -462,9 +460,9 @@ def representative_track(spark, sf):
     return diagnostics.shared_longest(s.filter("frame >= 715"), s)
 
 
-@query(f"WITH {V.OBS}, {V.TRANSFORMS}, g AS (SELECT * FROM tf WHERE frame % 12 = 0), f AS (SELECT DISTINCT clip_id, frame FROM obs) SELECT f.clip_id, f.frame, arg_min(g.frame, (abs(g.frame - f.frame), g.row_id)) AS pose_frame, round(arg_min(g.tx, (abs(g.frame - f.frame), g.row_id)), 6) AS tx FROM f JOIN g ON g.clip_id = f.clip_id GROUP BY ALL")
+@query(f"WITH {V.OBS}, {V.TRANSFORMS}, g AS (SELECT * FROM tf), f AS (SELECT DISTINCT clip_id, frame FROM obs) SELECT f.clip_id, f.frame, arg_min(g.frame, (abs(g.frame - f.frame), g.row_id)) AS pose_frame, round(arg_min(g.tx, (abs(g.frame - f.frame), g.row_id)), 6) AS tx FROM f JOIN g ON g.clip_id = f.clip_id GROUP BY ALL")
 def nearest_pose(spark, sf):
-    near = diagnostics.nearest_pose(V.observations(spark, sf), V.transforms(spark).filter("frame % 12 = 0"))
+    near = diagnostics.nearest_pose(V.observations(spark, sf), V.transforms(spark))
     return near.select("clip_id", "frame", "pose_frame", R("tx").alias("tx"))
 
 
@@ -515,10 +513,18 @@ def keypoint_mask(spark, sf):
     return egomotion.outside_vehicles(k, b).select("row_id")
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT f AS frame, f % 97 = 96 AS lost, f >= 2 AND f % 41 <> 40 AS usable, (f % 30 * 9)::DOUBLE AS mx, (f % 7)::DOUBLE AS my, greatest(0, 500 - f % 30 * 9) * greatest(0, 500 - f % 7) < 125000 AS far FROM (SELECT unnest(range(720)) AS f)),
+k AS (
+    SELECT -1::BIGINT AS frame, false AS started, false AS anchored, 0.0::DOUBLE AS ax, 0.0::DOUBLE AS ay, 0.0::DOUBLE AS tx, 0.0::DOUBLE AS ty
+    UNION ALL SELECT m.frame, started OR usable, usable AND (NOT started OR lost OR far),
+        CASE WHEN started AND usable AND NOT lost AND far THEN ax + mx ELSE ax END, CASE WHEN started AND usable AND NOT lost AND far THEN ay + my ELSE ay END,
+        CASE WHEN NOT started OR NOT usable THEN tx WHEN lost THEN ax ELSE ax + mx END, CASE WHEN NOT started OR NOT usable THEN ty WHEN lost THEN ay ELSE ay + my END
+    FROM k JOIN m ON m.frame = k.frame + 1)
+SELECT 0::BIGINT AS clip_id, frame, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d, tx, ty, anchored FROM k WHERE frame >= 0""")
 def anchor_chain(spark, sf):
     f = F.col("frame")
-    m = spark.range(V.FRAMES).select(F.lit(0).cast("long").alias("clip_id"), F.col("id").alias("frame")).select("clip_id", "frame", F.when(f % 97 != 96, 1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(1.0).alias("d"), (f % 30 * 9).cast("double").alias("tx"), (f % 7).cast("double").alias("ty"))
+    m = spark.range(V.FRAMES).select(F.lit(0).cast("long").alias("clip_id"), F.col("id").alias("frame"))
+    m = m.select("clip_id", "frame", ((f >= 2) & (f % 41 != 40)).alias("usable"), F.when(f % 97 != 96, 1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(1.0).alias("d"), (f % 30 * 9).cast("double").alias("tx"), (f % 7).cast("double").alias("ty"))
     return egomotion.chain_poses(m, 500.0, 500.0, 0.5)
 
 

@@ -25,12 +25,11 @@ class Options:
             raise ValueError("timestep must be at least 0 and min_fraction in (0, 1]")
 
 
-def lifted_points(correspondences: DataFrame, anchors: DataFrame | None, most: int = 10_000) -> tuple[list, list]:
-    """Image points in the global frame, and world points. Survey data: more than ``most`` raise."""
-    rows = correspondences.take(most + 1)
-    if len(rows) > most:
-        raise ValueError(f"more than {most} correspondences")
-    poses = {} if anchors is None else {r["frame"]: r["pose"] for r in anchors.select("frame", "pose").filter(F.col("frame").isin([r["reference_frame"] for r in rows])).collect()}
+def lifted_points(correspondences: DataFrame, anchors: DataFrame | None) -> tuple[list, list]:
+    """Image points in the global frame, and world points: four numbers for each surveyed point, on the driver, where the fit is."""
+    rows = correspondences.collect()
+    used = correspondences.select(F.col("reference_frame").alias("frame")).distinct()
+    poses = {} if anchors is None else {r["frame"]: r["pose"] for r in anchors.select("frame", "pose").join(used, "frame").collect()}
     image = []
     for r in rows:
         x, y = r["image"]["x"], r["image"]["y"]

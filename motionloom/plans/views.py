@@ -69,6 +69,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.to_grid(states(spark, sf_dir), SCALE, float(SIZE))
 
 
+def timesteps(spark: SparkSession) -> DataFrame:
+    """Every timestep of each clip, whether it has vehicles or not."""
+    return spark.range(CLIP_COUNT).select(F.col("id").alias("clip_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FRAMES - 1).cast("long"))).alias("frame"))
+
+
 _CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_CLASSES.items())
 OBS = f"""obs AS (
     SELECT clip_id, row_id, frame, track_id, cx, cy, w, h, vehicle_class, label, score FROM (
@@ -98,9 +103,11 @@ records AS (
     FROM states)"""
 _V = "(PARTITION BY clip_id, vehicle_id ORDER BY ordinal, row_id)"
 JUDGED = f"""{RECORDS},
-numbered AS (SELECT *, dense_rank() OVER (PARTITION BY clip_id ORDER BY frame) - 1 AS ordinal FROM records),
+steps AS (SELECT clip_id, frame, row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 AS ordinal, count(*) OVER (PARTITION BY clip_id) - 1 AS last_ordinal
+    FROM (SELECT unnest(range({FRAMES})) AS frame), (SELECT unnest(range({CLIP_COUNT})) AS clip_id)),
+numbered AS (SELECT records.*, ordinal, last_ordinal FROM records JOIN steps USING (clip_id, frame)),
 runs AS (
-    SELECT *, max(ordinal) OVER (PARTITION BY clip_id) AS last_ordinal, coalesce(ordinal <> lag(ordinal) OVER v + 1, true) AS run_start, coalesce(lead(ordinal) OVER v <> ordinal + 1, true) AS run_end,
+    SELECT *, coalesce(ordinal <> lag(ordinal) OVER v + 1, true) AS run_start, coalesce(lead(ordinal) OVER v <> ordinal + 1, true) AS run_end,
         (front_x + rear_x) / 2 AS mx, (front_y + rear_y) / 2 AS my,
         CASE WHEN front_x <> rear_x OR front_y <> rear_y THEN atan2(front_y - rear_y, front_x - rear_x) END AS angle
     FROM numbered WINDOW v AS {_V}),

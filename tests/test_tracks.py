@@ -140,14 +140,18 @@ def test_validator(spark):
 
 
 def test_anchor_chain():
-    eye = lambda x: np.array([[1, 0, x], [0, 1, 0]], float)
-    chain = egomotion.AnchorChain(100, 100, 0.5)
-    assert not chain.advance(eye(1))[1]
-    pose, again = chain.advance(eye(70))
-    assert again and pose[0, 2] == 70
-    assert chain.advance(eye(10))[0][0, 2] == 80
-    held, again = chain.advance(None)
-    assert again and held[0, 2] == 80
+    eye = lambda x: (True, np.array([[1, 0, x], [0, 1, 0]], float))
+    lost, blank = (True, None), (False, None)
+
+    def run(*steps):
+        return [(float(p[0, 2]), again) for p, again in egomotion.chained(steps, 100, 100, 0.5)]
+
+    assert run(eye(0), eye(1)) == [(0, True), (1, False)]
+    assert run(eye(0), eye(70), eye(10)) == [(0, True), (70, True), (80, False)]
+    assert run(eye(0), eye(5), lost) == [(0, True), (5, False), (0, True)]  # the old anchor's pose
+    assert run(eye(0), eye(20), lost, eye(5)) == [(0, True), (20, False), (0, True), (5, False)]
+    assert run(eye(0), eye(70), eye(10), lost) == [(0, True), (70, True), (80, False), (70, True)]
+    assert run(blank, blank, eye(9), eye(4), blank, eye(6)) == [(0, False), (0, False), (0, True), (4, False), (4, False), (6, False)]
 
 
 def test_fit_similarity():
@@ -187,3 +191,69 @@ def test_two_nearest_over_all_components(spark, block):
     for r in matching.ratio_matches(near, ["vec_id", "label"], 0.95).collect():
         got[r.vec_id] = (r.candidate, pytest.approx(r.distance, abs=1e-8))
     assert got == {i: (n[0][1], n[0][0]) for i, n in want.items() if n[0][0] < 0.95 * n[1][0]} and got
+
+
+def test_tracks_smoothed_together(spark):
+    """Whatever tracks share a step or a batch, each has the states it has alone."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for track in range(23):
+        for f in np.sort(rng.choice(200, rng.integers(1, 60), replace=False)).tolist():
+            rows.append((track % 3, len(rows), f, f / 10, track, 4.0, 2.0, float(rng.normal(f, 2)), float(rng.normal(50, 1))))
+    obs = spark.createDataFrame(rows, "clip_id long, row_id long, frame long, ts double, track_id long, w double, h double, cx double, cy double")
+    for together, backward in ((1, True), (100, True), (50_000, False)):
+        got = {r["row_id"]: r for r in smoothing.smooth_tracks(obs, 2.0, 20.0, backward, together).collect()}
+        assert len(got) == len(rows)
+        for track in range(23):
+            own = [r for r in rows if r[4] == track]
+            want = _one_by_one(np.array([r[7:] for r in own]), np.array([r[3] for r in own]), backward)
+            for r, s in zip(own, want, strict=True):
+                g = got[r[1]]
+                assert [g["px"], g["py"], g["vx"], g["vy"], g["ax"], g["ay"]] == pytest.approx(s.ravel().tolist(), rel=1e-6, abs=1e-6)
+
+
+def _one_by_one(z, ts, backward):
+    """The textbook filter of one track, and the backward pass as the least-squares solution by information matrices."""
+    f = lambda d: np.array([[1, d, d * d / 2], [0, 1, d], [0, 0, 1]])
+    q = lambda d: 20.0 * np.array([[d**5 / 20, d**4 / 8, d**3 / 6], [d**4 / 8, d**3 / 3, d**2 / 2], [d**3 / 6, d**2 / 2, d]])
+    p, x, out, seen = np.diag([4.0, 1e6, 1e6]), np.zeros((3, 2)), [], []
+    x[0] = z[0]
+    for k in range(len(z)):
+        if k:
+            d = ts[k] - ts[k - 1]
+            x, p = f(d) @ x, f(d) @ p @ f(d).T + q(d)
+        before = x, p
+        s = p[0, 0] + 4.0
+        x, p = x + np.outer(p[:, 0] / s, z[k] - x[0]), p - np.outer(p[:, 0], p[0]) / s
+        seen.append((before, (x, p)))
+        out.append(x)
+    if backward:
+        for k in range(len(z) - 2, -1, -1):
+            (mx, mp), (x, p) = seen[k + 1][0], seen[k][1]
+            out[k] = x + np.linalg.solve(mp, f(ts[k + 1] - ts[k]) @ p).T @ (out[k + 1] - mx)
+    return out
+
+
+def test_empty_timesteps_end_runs(spark):
+    rows = [(0, f, f / 10, 7, f, 250.0, 250.0, 240.0, 250.0, 4.0, 2.0, 5.0, 0.0) for f in (0, 2, 3)]
+    r = spark.createDataFrame(rows, "clip_id long, frame long, ts double, vehicle_id long, row_id long, front_x double, front_y double, rear_x double, rear_y double, length double, width double, speed double, accel double")
+    clips = spark.createDataFrame([(0, 500, 500, 10.0, 6, 1.0)], CLIPS)
+    every = spark.createDataFrame([(0, f) for f in range(6)], "clip_id long, frame long")
+    count = lambda j: {c["check"]: (c["compliant"], c["total"]) for c in validate.report(j).collect()}
+    assert count(validate.judged(r, clips))["appearance"] == (1, 1)  # frame 1 is no timestep of the records
+    got = count(validate.judged(r, clips, every))
+    assert got["appearance"] == (1, 2) and got["disappearance"] == (0, 2)  # nor is frame 3 the last one
+
+
+def test_many_zones_by_cells(spark):
+    rng = np.random.default_rng(3)
+    zones = []
+    for i in range(300):
+        c, size = rng.uniform(0, 1000, 2), 10 ** rng.uniform(0, 2.7)
+        zones.append((i, [tuple(map(float, c + size * rng.uniform(-1, 1, 2))) for _ in range(rng.integers(2, 7))]))
+    z = spark.createDataFrame(zones, "zone_id long, vertices array<struct<x:double,y:double>>")
+    obs = spark.createDataFrame([(i, *map(float, rng.uniform(-50, 1050, 2))) for i in range(2000)] + [(5000, None, 1.0)], "row_id long, cx double, cy double")
+    want = {r["row_id"]: r["inside"] for r in exclusion.flag_inside(obs, [v for _, v in zones[:100]]).collect()}
+    got = {r["row_id"]: r["inside"] for r in exclusion.flag_zones(obs, z.filter("zone_id < 100")).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+    assert exclusion.flag_zones(obs, z).count() == len(want)
