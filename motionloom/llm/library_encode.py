@@ -16,7 +16,7 @@ from .bpe import encode_batches
 def _encode_words(vocab: wordvocab.WordVocab, words: list[str]) -> list[list[int]]:
     """Each word's ids, from the library's model; the words are already normalised and cut."""
     tokenize, symbols = vocab.library.model.tokenize, vocab.symbols
-    return [[t.id for t in tokenize(symbols(w))] for w in words]
+    return [[t.id for t in tokenize(w if w.isascii() and w.isalnum() else symbols(w))] for w in words]
 
 
 @functools.lru_cache(maxsize=2)

@@ -67,6 +67,8 @@ class WordVocab:
 
     def symbols(self, word: str) -> str:
         """The word as one character for each byte of its UTF-8 form."""
+        if word.isascii() and word.isalnum():
+            return word  # these bytes stand for themselves
         return word.encode("utf-8").decode("latin-1").translate(self._bytes)
 
     def _plain(self, text: str) -> list[str]:
@@ -94,6 +96,8 @@ class WordVocab:
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk; a word's own words are itself."""
+        if chunk.isalpha() and (chunk.isascii() or not _SPECIAL.search(chunk)):
+            return [chunk]  # a run of letters
         if not chunk.isascii() and _SPECIAL.search(chunk):
             return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         return _FAST.findall(chunk)
@@ -130,8 +134,9 @@ class WordTable:
         self.flat = np.concatenate([self.flat, ids])
 
     def _learn(self, chunks: list[str]) -> None:
-        parts = [self.vocab.words(c) for c in chunks]
-        words = sorted({w for p in parts for w in p}.difference(self.index))
+        cut = self.vocab.words
+        parts = [[c] if c.isascii() and c.isalpha() else cut(c) for c in chunks]
+        words = sorted(set(itertools.chain.from_iterable(parts)).difference(self.index))
         ids = self.encode_new(words)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         self._add(words, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(length.sum())), length)
@@ -164,16 +169,16 @@ class WordTable:
         at = np.fromiter(map(self.index.get, chunks, itertools.repeat(-1)), np.int32, len(chunks))
         gaps = np.flatnonzero(at < 0).tolist()
         if gaps:
-            new = {chunks[i] for i in gaps}
+            new = set(map(chunks.__getitem__, gaps))
             if len(self.index) + len(new) > self.most + len(self.vocab.special):
                 self.clear()
                 new, gaps = set(chunks).difference(self.index), range(len(chunks))
             on = gc.isenabled()
             gc.disable()  # a trie of many small nodes has no cycles to look for
             try:
-                self._learn(sorted(new))
+                self._learn(list(new))
             finally:
                 if on:
                     gc.enable()
-            at[gaps] = np.fromiter((self.index[chunks[i]] for i in gaps), np.int32, len(gaps))
+            at[gaps] = np.fromiter(map(self.index.__getitem__, map(chunks.__getitem__, gaps)), np.int32, len(gaps))
         return self._gather(at, np.array(ends))
