@@ -166,19 +166,23 @@ class WordTable:
         for text in texts:
             chunks += self.vocab.chunks(text)
             ends.append(len(chunks))
-        at = np.fromiter(map(self.index.get, chunks, itertools.repeat(-1)), np.int32, len(chunks))
+        # Each different chunk is looked up once in the large table.
+        kinds = list(dict.fromkeys(chunks))
+        at = np.fromiter(map(self.index.get, kinds, itertools.repeat(-1)), np.int32, len(kinds))
         gaps = np.flatnonzero(at < 0).tolist()
         if gaps:
-            new = set(map(chunks.__getitem__, gaps))
-            if len(self.index) + len(new) > self.most + len(self.vocab.special):
+            if len(self.index) + len(gaps) > self.most + len(self.vocab.special):
                 self.clear()
-                new, gaps = set(chunks).difference(self.index), range(len(chunks))
+                gaps = [i for i, c in enumerate(kinds) if c not in self.index]
+                at = np.fromiter(map(self.index.get, kinds, itertools.repeat(-1)), np.int32, len(kinds))
+            new = [kinds[i] for i in gaps]
             on = gc.isenabled()
             gc.disable()  # a trie of many small nodes has no cycles to look for
             try:
-                self._learn(list(new))
+                self._learn(new)
             finally:
                 if on:
                     gc.enable()
-            at[gaps] = np.fromiter(map(self.index.__getitem__, map(chunks.__getitem__, gaps)), np.int32, len(gaps))
-        return self._gather(at, np.array(ends))
+            at[gaps] = np.fromiter(map(self.index.__getitem__, new), np.int32, len(new))
+        number = dict(zip(kinds, range(len(kinds)), strict=True))
+        return self._gather(at[np.fromiter(map(number.__getitem__, chunks), np.int32, len(chunks))], np.array(ends))
