@@ -13,7 +13,7 @@ def active_counts(timesteps: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def lifespans(records: DataFrame) -> DataFrame:
-    """First and last time of each vehicle, in the order of a Gantt chart."""
+    """First and last time of each vehicle: the bars of a Gantt chart, in no order; sort by clip_id and first_ts to draw them."""
     spans = records.groupBy("clip_id", "vehicle_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_records"))
     return spans.withColumn("duration", F.col("last_ts") - F.col("first_ts"))
 
