@@ -96,6 +96,15 @@ def judged(records: DataFrame, clips: DataFrame, timesteps: DataFrame | None = N
     )
 
 
+def of_file(rows: DataFrame, margin: float = MARGIN, heading_step: float = HEADING_STEP, max_speed: float | None = None, max_accel: float | None = None, units: int = 1) -> DataFrame:
+    """judged() of the rows of one trajectory file, all its timesteps counted."""
+    zero = F.lit(0).cast("long").alias("clip_id")
+    clips = rows.filter("kind = 'header'").select(zero, F.col("max_x").alias("width"), F.col("max_y").alias("height"), "scale")
+    steps = rows.filter("kind = 'timestep'").select(zero, F.col("ordinal").alias("frame"))
+    records = rows.filter("kind = 'vehicle'").select(zero, F.col("ordinal").alias("frame"), F.col("pos").alias("row_id"), "ts", "vehicle_id", "front_x", "front_y", "rear_x", "rear_y", "length", "width", "speed", "accel")
+    return judged(records, clips, steps, margin, heading_step, max_speed, max_accel, units)
+
+
 def report(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """check, compliant, total, pct (null if total is 0) of judged records, by clip or other keys if given."""
     counts = [F.struct(F.lit(c).alias("check"), F.count_if(f"ok_{c}").alias("compliant"), F.count(f"ok_{c}").alias("total")) for c in CHECKS]

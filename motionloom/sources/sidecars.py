@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import shutil
 import tomllib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,6 +126,18 @@ def write_violations(rows: DataFrame, path: str, mode: str = "errorifexists") ->
     rows.select(*text).coalesce(1).write.mode(mode).csv(path, header=True)
 
 
+def one_file(write: Callable[[str], None], path: str) -> None:
+    """Let ``write`` fill a folder beside a local path, and put its only data file at the path; elsewhere the path is the folder."""
+    if "://" in path:
+        return write(path)
+    folder = Path(f"{path}.part")
+    try:
+        write(str(folder))
+        next(folder.glob("part-*")).replace(path)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     """Altitudes of a subtitle telemetry file, one row for each line that has one."""
     lines = spark.read.text(path)

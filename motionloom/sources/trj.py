@@ -176,17 +176,21 @@ def vehicles(trj: DataFrame) -> DataFrame:
 def packed(states: DataFrame, clips: DataFrame, height_scale: bool = True) -> DataFrame:
     """The bytes of each clip's file as rows (clip_id, data). states: grid units, with frame, ts, track_row, row_id.
 
-    A file is one ordered stream, so a clip's records meet in one task.
+    A file is one ordered stream, so a clip's records meet in one task. A clip
+    without records gives a file of its header alone.
     """
     cols = ["clip_id", "frame", "ts", "track_row", "row_id", *_FIELDS]
-    df = states.withColumns({"link_id": F.lit(0), "lane_id": F.lit(0)}).select(*cols).join(clips.select("clip_id", "width", "height", "scale").withColumnsRenamed({"width": "canvas_width", "height": "canvas_height"}), "clip_id")
+    df = states.withColumns({"link_id": F.lit(0), "lane_id": F.lit(0)}).select(*cols)
+    canvas = clips.select("clip_id", "width", "height", "scale")
 
-    def pack(frame):
+    def pack(frame, clip):
+        if clip.empty:
+            return clip[["clip_id"]].assign(data=b"")
         frame = frame.sort_values(["frame", "track_row", "row_id"], kind="stable")
-        first = frame.iloc[0]
-        out = [pack_header(float(first["scale"]), int(first["canvas_width"]), int(first["canvas_height"]))]
+        first = clip.iloc[0]
+        out = [pack_header(float(first["scale"]), int(first["width"]), int(first["height"]))]
         kind = np.dtype([("tag", "u1"), ("vehicle_id", "<i4"), ("link_id", "<i4"), ("lane_id", "u1"), *((f, "<f4") for f in _FIELDS[3:])])
-        if frame["vehicle_id"].abs().max() > 0x7FFFFFFF:
+        if len(frame) and frame["vehicle_id"].abs().max() > 0x7FFFFFFF:
             raise ValueError("a vehicle id doesn't fit 32 bits")
         for _, rows in frame.groupby("frame", sort=False):
             block = np.empty(len(rows), kind)
@@ -194,9 +198,9 @@ def packed(states: DataFrame, clips: DataFrame, height_scale: bool = True) -> Da
             for f in _FIELDS:
                 block[f] = rows[f].to_numpy()
             out += [pack_timestep(float(rows["ts"].iloc[0])), block.tobytes()]
-        return frame[["clip_id"]].head(1).assign(data=[b"".join(out)])
+        return clip[["clip_id"]].head(1).assign(data=[b"".join(out)])
 
-    return df.groupBy("clip_id").applyInPandas(pack, "clip_id long, data binary")
+    return df.groupBy("clip_id").cogroup(canvas.groupBy("clip_id")).applyInPandas(pack, "clip_id long, data binary")
 
 
 def write_trj(states: DataFrame, clips: DataFrame, folder: str, force: bool = False) -> DataFrame:

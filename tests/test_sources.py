@@ -136,19 +136,40 @@ def test_video_source(spark):
 
 
 GOOD = {
-    "input": {"video": "v.mp4", "start": "00:10"}, "detection": {"model": "m", "device": "cuda:0", "confidence": 0.3},
-    "calibration": {"drone_model": "Mavic_3", "altitude_m": 50}, "export": {"tracks": "t.parquet"},
+    "input": {"video": "v.mp4", "process_fps": 0.0}, "detector": {"name": "rt_detr", "checkpoint": "c", "conf": 0.3, "filename": ""}, "runtime": {"device": "cuda:0"},
+    "calibration": {"drone_model": "Mavic_3", "altitude_m": 50}, "ego_motion": {"enabled": False}, "tracker": {"det_thresh": 0.1},
+    "export": {"out": "t.parquet", "transform_csv": "", "anchors_dir": ""}, "window": {"start": "00:10", "end": ""}, "run": {"timing_csv": ""},
 }
 
 
+def problems_of(**sections):
+    try:
+        config.resolve({**GOOD, **sections})
+    except config.SettingsError as e:
+        return e.problems
+    return []
+
+
 def test_settings(tmp_path):
     s = config.resolve(GOOD)
-    assert s.get("input", "start") == 10 and s.scale(1920) == pytest.approx(0.0367, abs=1e-4)
-    assert config.static_problems(s) == ["input.video: v.mp4 doesn't exist"]
-    bad = {**GOOD, "detection": {"model": "", "device": "tpu", "confidence": 2}, "calibration": {}}
-    with pytest.raises(config.SettingsError) as e:
-        config.resolve(bad)
-    assert len(e.value.problems) == 4
+    assert s.get("window.start") == 10 and s.get("window.end") is None and s.get("run.timing_csv") is None
+    assert s.scale(1920) == pytest.approx(0.0367, abs=1e-4)
+    assert config.static_problems(s) == ["input.video: v.mp4 isn't a file"]
+    assert config.resolve(GOOD, {"detector.conf": 0.5, "input.video": None}).get("detector.conf") == 0.5
+    assert len(problems_of(detector={"name": "x", "checkpoint": "", "conf": 2, "filename": 3}, runtime={"device": "tpu"}, calibration={})) == 6
+    assert len(problems_of(ego_motion={"enabled": True})) == 5 and len(problems_of(ego_motion={"enabled": 1})) == 1
+    assert problems_of(export={**GOOD["export"], "anchors_dir": "a"}) == ["export.anchors_dir needs ego_motion.enabled"]
+    assert problems_of(window={"start": "20", "end": "10"}) and problems_of(window={"start": "x", "end": ""}) and problems_of(input={"video": "v", "process_fps": -1})
+    assert problems_of(calibration={"drone_model": "mavic_3", "srt": "s"}) == [] and problems_of(calibration={"meters_per_pixel": 0.05}) == []
+    assert len(problems_of(calibration={"meters_per_pixel": 0.05, "drone_model": "mavic_3"})) == 1 and len(problems_of(calibration={"meters_per_pixel": -1})) == 1
+    missing = []
+    try:
+        config.resolve({})
+    except config.SettingsError as e:
+        missing = e.problems
+    assert len(missing) == len(config.REQUIRED) + 1
+    same = config.resolve({**GOOD, "run": {"timing_csv": "t.parquet"}})
+    assert config.static_problems(same)[1:] == ["run.timing_csv must differ from export.out"]
     with pytest.raises(ValueError):
         config.timecode("1:2:3:4")
     (tmp_path / "s.toml").write_text("[input]\nvideo = 'x'\n")
