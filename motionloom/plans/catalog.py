@@ -64,10 +64,10 @@ def bbox_center(spark, sf):
     return project.box_centres(detections(spark, sf)).select("row_id", R("cx").alias("cx"), R("cy").alias("cy"))
 
 
-@query(f"WITH {DET} SELECT row_id, {r('x', 'x')}, {r('y', 'y')}, {r('x + w - x', 'w')}, {r('y + h - y', 'h')} FROM det")
+@query(f"WITH {DET} SELECT row_id, {r('x - h', 'x')}, {r('y - w', 'y')}, {r('w + h', 'w')}, {r('h + w', 'h')} FROM det")
 def corners_to_boxes(spark, sf):
     d = detections(spark, sf)
-    corners = d.select("row_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+    corners = d.select("row_id", (F.col("x") - F.col("h")).alias("x1"), (F.col("y") - F.col("w")).alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
     return rounded(project.corners_to_box(corners), "x", "y", "w", "h")
 
 
@@ -153,7 +153,7 @@ def time_window(spark, sf):
     return filters.in_window(V.observations(spark, sf), V.FPS, V.FRAMES, 10.04, 30.55).select("row_id", "frame")
 
 
-@query(f"WITH {DET} SELECT d.clip_id, d.frame, d.det_ind, track_id, vehicle_class, score FROM det d WHERE track_id % 5 <> 0")
+@query(f"WITH {DET}, t AS (SELECT clip_id, frame, CASE WHEN track_id % 5 = 0 THEN -1 ELSE det_ind END AS det_ind, track_id FROM det) SELECT clip_id, frame, det_ind, t.track_id, d.vehicle_class, d.score FROM t JOIN det d USING (clip_id, frame, det_ind)")
 def detection_join(spark, sf):
     d = detections(spark, sf)
     none = F.when(F.col("track_id") % 5 == 0, -1).otherwise(F.col("det_ind"))  # the tracker only predicts these
@@ -198,11 +198,15 @@ def polygon_area(spark, sf):
     return z.select("zone_id", R(G.polygon_area(F.col("vertices"))).alias("area"), F.size("vertices").alias("n"))
 
 
-@query("SELECT x::INTEGER AS shift_x, y::INTEGER AS shift_y, round(greatest(0, 1920 - abs(x)) * greatest(0, 1080 - abs(y)) / 2073600.0::DOUBLE, 6) AS overlap FROM (SELECT unnest(range(-2000, 2001, 250)) AS x), (SELECT unnest(range(-1200, 1201, 150)) AS y)")
+@query("""WITH g AS (SELECT k, x, y, CASE WHEN k = 0 THEN x - 1080 ELSE x END AS x0, CASE WHEN k = 0 THEN x ELSE x + 1920 * k END AS x1, y AS y0, CASE WHEN k = 0 THEN y + 1920 ELSE y + 1080 * k END AS y1
+    FROM (SELECT unnest([0.0::DOUBLE, 0.5, 1, 1.5]) AS k), (SELECT unnest(range(-2000, 2001, 250)) AS x), (SELECT unnest(range(-1200, 1201, 150)) AS y))
+SELECT k, x::INTEGER AS shift_x, y::INTEGER AS shift_y, round(greatest(0, least(1920, x1) - greatest(0, x0)) * greatest(0, least(1080, y1) - greatest(0, y0)) / 2073600.0::DOUBLE, 6) AS overlap FROM g""")
 def clipped_overlap(spark, sf):
-    grid = spark.range(1).select(F.explode(F.sequence(F.lit(-2000), F.lit(2000), F.lit(250))).alias("shift_x")).withColumn("shift_y", F.explode(F.sequence(F.lit(-1200), F.lit(1200), F.lit(150))))
-    t = G.affine(1, 0, F.col("shift_x"), 0, 1, F.col("shift_y"))
-    return grid.select("shift_x", "shift_y", R(G.clipped_overlap(t, F.lit(1920.0), F.lit(1080.0))).alias("overlap"))
+    """Shifted canvases at three scales, and turned by a right angle (k = 0)."""
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.0, 0.5, 1.0, 1.5)))).alias("k")).withColumn("shift_x", F.explode(F.sequence(F.lit(-2000), F.lit(2000), F.lit(250)))).withColumn("shift_y", F.explode(F.sequence(F.lit(-1200), F.lit(1200), F.lit(150))))
+    turn = F.when(F.col("k") == 0, 1.0).otherwise(0.0)
+    t = G.affine(F.col("k"), -turn, F.col("shift_x"), turn, F.col("k"), F.col("shift_y"))
+    return grid.select("k", "shift_x", "shift_y", R(G.clipped_overlap(t, F.lit(1920.0), F.lit(1080.0))).alias("overlap"))
 
 
 # Telemetry and timing
@@ -379,17 +383,22 @@ j AS (SELECT s.*, coalesce(a, 1) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c,
 i AS (SELECT *, d / (a * d - b * c) AS ia, -b / (a * d - b * c) AS ib, -c / (a * d - b * c) AS ic, a / (a * d - b * c) AS id FROM j)"""
 
 
-@query(f"WITH {_DRAW} SELECT row_id, vframe AS frame, round_even(ia * (x / 0.5::DOUBLE) + ib * (y / 0.5::DOUBLE) - (ia * tx + ib * ty), 0)::BIGINT AS px, 'v' || vehicle_id || '  ' || round_even(speed, 0)::BIGINT AS label FROM i")
+@query(f"""WITH {_DRAW} SELECT row_id, vframe AS frame, round_even(ia * (x / 0.5::DOUBLE) + ib * (y / 0.5::DOUBLE) - (ia * tx + ib * ty), 0)::BIGINT AS px, round_even(ic * (x / 0.5::DOUBLE) + id * (y / 0.5::DOUBLE) - (ic * tx + id * ty), 0)::BIGINT AS py,
+    'v' || vehicle_id || '  ' || round_even(speed, 0)::BIGINT AS label, {r('x + hx * length / 2', 'front_x', 4)}, {r('y - hy * length / 2', 'rear_y', 4)}, least(5, row_number() OVER (PARTITION BY clip_id, vehicle_id ORDER BY vframe, row_id))::INTEGER AS trail_n,
+    CASE WHEN vehicle_id % 3 = 0 AND vframe % 2 = 0 THEN 'speed' END AS mark FROM i""")
 def draw_list(spark, sf):
-    d = overlay.draw_list(V.states(spark, sf), V.transforms(spark), None, V.FPS, V.SCALE, 5)
-    return d.select("row_id", "frame", "px", "label")
+    states = V.states(spark, sf)
+    marks = overlay.states_on_frames(states, V.FPS).filter("vehicle_id % 3 = 0 AND frame % 2 = 0").select("clip_id", "frame", "vehicle_id").distinct().withColumn("label", F.lit("speed"))
+    d = overlay.draw_list(states, V.transforms(spark), marks, V.FPS, V.SCALE, 5)
+    return d.select("row_id", "frame", "px", "py", "label", R("front_x", 4).alias("front_x"), R("rear_y", 4).alias("rear_y"), F.size("trail").alias("trail_n"), "mark")
 
 
-@query("SELECT event_id, (h * 6 - floor(h * 6) >= 0)::BOOLEAN AS in_range, floor(h * 6)::INTEGER AS sector FROM (SELECT event_id, (event_id * 0.618033988749895::DOUBLE) % 1 AS h FROM events)")
-def colour_sector(spark, sf):
-    e = V.table(spark, sf, "events").select("event_id", drawing.colour(F.col("event_id")).alias("c"))
-    hue = F.pmod(F.col("event_id").cast("double") * 0.618033988749895, F.lit(1.0)) * 6
-    return e.select("event_id", F.greatest("c.r", "c.g", "c.b").between(242, 242).alias("in_range"), F.floor(hue).cast("int").alias("sector"))
+_CHANNEL = "trunc(255 * (0.95::DOUBLE - 0.95::DOUBLE * 0.85::DOUBLE * greatest(0, least(({n} + h * 6) % 6, 4 - ({n} + h * 6) % 6, 1))))::INTEGER"
+
+
+@query(f"SELECT event_id, {_CHANNEL.format(n=1)} AS b, {_CHANNEL.format(n=3)} AS g, {_CHANNEL.format(n=5)} AS r FROM (SELECT event_id, (event_id * 0.618033988749895::DOUBLE) % 1 AS h FROM events)")
+def vehicle_colour(spark, sf):
+    return V.table(spark, sf, "events").select("event_id", drawing.colour(F.col("event_id")).alias("c")).select("event_id", "c.b", "c.g", "c.r")
 
 
 @query("SELECT code, CASE WHEN regexp_full_match(code, '\\d+(\\.\\d+)?(:\\d+(\\.\\d+)?){0,2}') THEN round(list_reduce(list_transform(string_split(code, ':'), lambda p: p::DOUBLE), lambda a, b: a * 60 + b), 6) END AS seconds FROM (SELECT unnest(['5', '5.25', '1:30', '01:02:03.5', '1:2:3:4', 'x', '1:-2', '0:00']) AS code)")
@@ -481,18 +490,8 @@ def iou_links(spark, sf):
     return rounded(matching.iou_links(detections(spark, sf).select("clip_id", "frame", "det_ind", "x", "y", "w", "h"), 0.01), "iou")
 
 
-@query("WITH p AS (SELECT l.vec_id, l.label, q.vec_id AS candidate, round(list_sum(list_transform(range(1, 9), lambda i: abs(l.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 9) AS distance FROM embeddings l JOIN embeddings q ON l.label = q.label AND l.vec_id <> q.vec_id), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY distance, candidate) AS n FROM p), b AS (SELECT vec_id, label, max(candidate) FILTER (n = 1) AS candidate, max(distance) FILTER (n = 1) AS distance, max(distance) FILTER (n = 2) AS second FROM o WHERE n <= 2 GROUP BY ALL) SELECT * FROM b WHERE distance < 0.8::DOUBLE * second")
-def knn_ratio_match(spark, sf):
-    e = V.table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
-    other = e.select("label", F.col("vec_id").alias("candidate"), F.col("v").alias("u"))
-    gap = F.aggregate(F.zip_with("v", "u", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = e.join(other, "label").filter("vec_id <> candidate").select("vec_id", "label", "candidate", F.round(gap, 9).alias("distance"))
-    return matching.ratio_matches(pairs, ["vec_id", "label"], 0.8)
-
-
 @query("WITH p AS (SELECT l.vec_id, l.label, q.vec_id AS candidate, round(list_sum(list_transform(range(1, len(l.embedding) + 1), lambda i: abs(l.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE))), 9) AS distance FROM embeddings l JOIN embeddings q ON l.label = q.label AND l.vec_id <> q.vec_id AND len(l.embedding) = len(q.embedding)), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY distance, candidate) AS n FROM p), b AS (SELECT vec_id, label, max(candidate) FILTER (n = 1) AS candidate, max(distance) FILTER (n = 1) AS distance, max(distance) FILTER (n = 2) AS second FROM o WHERE n <= 2 GROUP BY ALL) SELECT * FROM b WHERE distance < 0.8::DOUBLE * second")
-def knn_ratio_match_whole(spark, sf):
-    """The ratio test over all components of the vectors; knn_ratio_match and its SQL read the first eight."""
+def knn_ratio_match(spark, sf):
     return matching.ratio_matches(matching.nearest_two(V.table(spark, sf, "embeddings")), ["vec_id", "label"], 0.8)
 
 
