@@ -155,9 +155,11 @@ def _table(path: str) -> wordvocab.WordTable:
 def encode_batches(batches, path: str, table=_table):
     """Arrow batches of (id, text) to batches of (id, ids)."""
     words = table(path)
+    pool = pa.default_memory_pool()
     for batch in batches:
-        for a, b in utf8_chunks(batch.column(1)):
-            ids, offsets = words.encode(batch.column(1)[a:b].to_pylist())
+        pool.release_unused()  # what earlier batches took, also those of other tasks in this worker
+        for a, b in utf8_chunks(batch.column(1), 2 << 20):
+            ids, offsets = words.encode(batch.column(1)[a:b])
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
 
 

@@ -23,7 +23,7 @@ def _encode_words(vocab: wordvocab.WordVocab, words: list[str]) -> list[list[int
 def _table(path: str) -> wordvocab.WordTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     vocab = wordvocab.load(path)
-    return wordvocab.WordTable(vocab, lambda words: _encode_words(vocab, words), most=500_000)
+    return wordvocab.WordTable(vocab, lambda words: _encode_words(vocab, words), most=400_000)
 
 
 def with_end(path: str, end: int | None):

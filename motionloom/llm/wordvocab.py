@@ -14,6 +14,8 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def byte_symbols() -> list[str]:
@@ -43,6 +45,8 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _CHUNK = re.compile(f"[^{_SPACES}]+")
 #: Characters that composition or per-character lower case may treat specially.
 _SPECIAL = re.compile("[" + "".join(chr(c) for c in range(0x80, 0x300) if max(chr(c).lower()) >= "\u0300") + "\u0300-\U0010ffff]")
+#: Texts that Arrow's lower case and split can't stand in for, as a pattern for Arrow.
+_ODD = "|".join(p.pattern for p in (_CONTROL, _SPECIAL))
 
 
 class WordVocab:
@@ -62,6 +66,7 @@ class WordVocab:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._marks = {s[:2] for s in self.special}
+        self._odd = "|".join([_ODD, *map(re.escape, sorted(self._marks))])
         self.tokens = np.array([self.library.id_to_token(i) for i in range(self.library.get_vocab_size(with_added_tokens=True))], dtype=object)
         self._bytes = {i: s for i, s in enumerate(byte_symbols())}
 
@@ -94,6 +99,24 @@ class WordVocab:
                 out += self._plain(part)
         return out
 
+    def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different chunks of all texts, the number of the chunk at each place, and each text's first place and the end.
+
+        Texts with none but common characters are lower-cased and cut as one
+        Arrow array; it may give empty chunks, which have no words.
+        """
+        odd = pc.match_substring_regex(texts, self._odd)
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts) if len(rows) else texts))
+        if len(rows):
+            apart = pa.array([self.chunks(texts[i].as_py()) for i in rows.tolist()], lists.type)
+            order = np.arange(len(texts))
+            order[rows] = len(texts) + np.arange(len(rows))
+            lists = pa.concat_arrays([lists, apart]).take(pa.array(order))
+        kinds = lists.flatten().dictionary_encode()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        return kinds.dictionary.to_pylist(), kinds.indices.to_numpy(), ends - ends[0]
+
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk; a word's own words are itself."""
         if chunk.isalpha() and (chunk.isascii() or not _SPECIAL.search(chunk)):
@@ -103,86 +126,91 @@ class WordVocab:
         return _FAST.findall(chunk)
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries ``at``, one after another, and the offsets at ``ends``."""
+    length = length[at]
+    done = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(length, out=done[1:])
+    shift = start[at]
+    shift -= done[:-1].astype(np.int32)
+    take = np.repeat(shift, length)
+    take += np.arange(done[-1], dtype=np.int32)
+    return flat[take], done[ends]
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> WordVocab:
     return WordVocab(path)
 
 
 class WordTable:
-    """Ids of chunks met so far, and the encoding of texts through it.
+    """Ids of the words met so far, and the encoding of texts through it.
 
-    ``encode_new(words)`` gives the ids of words that aren't in the table. The
-    table starts afresh beyond ``most`` chunks, so its memory is bounded.
+    ``encode_new(words)`` gives the ids of words that aren't in the table. With
+    more than ``most`` words in it, the table keeps the half that most batches
+    had before it takes in the next batch, so its memory is bounded; a word
+    that was let go is encoded again when it comes back.
     """
 
-    def __init__(self, vocab: WordVocab, encode_new, most: int = 600_000):
+    def __init__(self, vocab: WordVocab, encode_new, most: int = 400_000):
         self.vocab, self.encode_new, self.most = vocab, encode_new, most
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.empty(0, np.int32)
         self.start = np.empty(0, np.int32)
         self.length = np.empty(0, np.int32)
-        self._add([" " + s for s in self.vocab.special], np.array([*self.vocab.special.values()], np.int32), np.ones(len(self.vocab.special), np.int64))
+        self.hits = np.empty(0, np.int32)
+        self._add([" " + s for s in vocab.special], np.array([*vocab.special.values()], np.int32), np.ones(len(vocab.special), np.int64))
 
-    def _add(self, chunks: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+    def _add(self, words: list[str], ids: np.ndarray, length: np.ndarray) -> None:
         first = len(self.index)
-        self.index.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.index.update(zip(words, range(first, first + len(words)), strict=True))
         self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(length) - length).astype(np.int32)])
         self.length = np.concatenate([self.length, length.astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids])
-
-    def _learn(self, chunks: list[str]) -> None:
-        cut = self.vocab.words
-        parts = [[c] if c.isascii() and c.isalpha() else cut(c) for c in chunks]
-        words = sorted(set(itertools.chain.from_iterable(parts)).difference(self.index))
-        ids = self.encode_new(words)
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int32)])
+
+    def _learn(self, words: list[str]) -> None:
+        on = gc.isenabled()
+        gc.disable()  # a trie of many small nodes has no cycles to look for
+        try:
+            ids = self.encode_new(words)
+        finally:
+            if on:
+                gc.enable()
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         self._add(words, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(length.sum())), length)
-        rest = [i for i, c in enumerate(chunks) if c not in self.index]
-        ends = np.concatenate([[0], np.cumsum([len(parts[i]) for i in rest], dtype=np.int64)])
-        ids, offsets = self._look_up([w for i in rest for w in parts[i]], ends)
-        self._add([chunks[i] for i in rest], ids, np.diff(offsets))
-
-    def _look_up(self, chunks: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self._gather(np.fromiter(map(self.index.__getitem__, chunks), np.int32, len(chunks)), ends)
-
-    def _gather(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the table's entries ``at``, one after another, and the offsets at ``ends``."""
-        length = self.length[at]
-        done = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(length, out=done[1:])
-        shift = self.start[at]
-        shift -= done[:-1].astype(np.int32)
-        take = np.repeat(shift, length)
-        take += np.arange(done[-1], dtype=np.int32)
-        return self.flat[take], done[ends]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+
+    def _trim(self) -> None:
+        """Keep the special tokens and the half of the table with most hits, newer words first; hits count half from then on."""
+        fixed = len(self.vocab.special)
+        kept = np.sort(np.argsort(self.hits[fixed:], kind="stable")[-(self.most // 2) :]) + fixed
+        kept = np.concatenate([np.arange(fixed), kept])
+        words = list(self.index)
+        ids, ends = _gather(self.flat, self.start, self.length, kept, np.arange(len(kept) + 1))
+        self.index = dict(zip(map(words.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        self.flat, self.start, self.length, self.hits = ids, ends[:-1].astype(np.int32), self.length[kept], self.hits[kept] >> 1
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the offsets of each text in it."""
-        chunks: list[str] = []
-        ends = [0]
-        for text in texts:
-            chunks += self.vocab.chunks(text)
-            ends.append(len(chunks))
-        # Each different chunk is looked up once in the large table.
-        kinds = list(dict.fromkeys(chunks))
+        if len(self.index) > self.most + len(self.vocab.special):
+            self._trim()
+        kinds, place, ends = self.vocab.cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         at = np.fromiter(map(self.index.get, kinds, itertools.repeat(-1)), np.int32, len(kinds))
-        gaps = np.flatnonzero(at < 0).tolist()
-        if gaps:
-            if len(self.index) + len(gaps) > self.most + len(self.vocab.special):
-                self.clear()
-                gaps = [i for i, c in enumerate(kinds) if c not in self.index]
-                at = np.fromiter(map(self.index.get, kinds, itertools.repeat(-1)), np.int32, len(kinds))
-            new = [kinds[i] for i in gaps]
-            on = gc.isenabled()
-            gc.disable()  # a trie of many small nodes has no cycles to look for
-            try:
-                self._learn(new)
-            finally:
-                if on:
-                    gc.enable()
-            at[gaps] = np.fromiter(map(self.index.__getitem__, new), np.int32, len(new))
-        number = dict(zip(kinds, range(len(kinds)), strict=True))
-        return self._gather(at[np.fromiter(map(number.__getitem__, chunks), np.int32, len(chunks))], np.array(ends))
+        new = at < 0
+        if not new.any():
+            self.hits[at] += 1
+            return _gather(self.flat, self.start, self.length, at[place], ends)
+        # Chunks that aren't words of the table: they are cut, and only their words are kept.
+        cut = self.vocab.words
+        parts = [[c] if c.isascii() and c.isalpha() else cut(c) for c in map(kinds.__getitem__, np.flatnonzero(new).tolist())]
+        flat = [*itertools.chain.from_iterable(parts)]
+        self._learn(sorted(set(flat).difference(self.index)))
+        count = np.ones(len(kinds), np.int64)
+        count[new] = np.fromiter(map(len, parts), np.int64, len(parts))
+        own = np.repeat(new, count)
+        entries = np.empty(len(own), np.int32)
+        entries[~own] = at[~new]
+        entries[own] = np.fromiter(map(self.index.__getitem__, flat), np.int32, len(flat))
+        self.hits[entries] += 1
+        ids, offsets = _gather(self.flat, self.start, self.length, entries, np.concatenate([[0], np.cumsum(count)]))
+        return _gather(ids, offsets[:-1].astype(np.int32), np.diff(offsets).astype(np.int32), place, ends)

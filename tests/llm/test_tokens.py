@@ -37,13 +37,16 @@ def test_ids_equal_the_librarys(library, table):
         assert ids[ends[i] : ends[i + 1]].tolist() == want.ids, repr(text)
 
 
-def test_small_table_starts_afresh(library):
+def test_small_table_lets_words_go(library):
     vocab = wordvocab.load(PATH)
     small = wordvocab.WordTable(vocab, bpe.TrieEncoder(vocab), most=20)
-    for text in [" ".join(f"w{i}x{j}" for j in range(15)) for i in range(6)]:
+    letters = "abcdefghijklmno"
+    for i in range(12):
+        text = " ".join(f"q{letters[i]}{x}, always <|endoftext|> w{i}x" for x in letters)
         ids, _ = small.encode([text])
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
-        assert len(small.index) < 120
+        assert len(small.index) < 60
+        assert {"always", " <|endoftext|>", " <|startoftext|>"} <= set(small.index)
 
 
 def test_encode_and_decode(spark, library):
